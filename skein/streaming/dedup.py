@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.functions.ids import message_key
-from skein.runtime import fresh_dir, input_bytes
+from skein.runtime import fresh_dir, input_bytes, ship_package
 
 LAST = np.iinfo(np.int64).max  # stands for a received_at that is null: such a delivery is kept only if no other copy has a time
 EVENT = T.StructType(
@@ -114,6 +114,7 @@ def repeated_deliveries(
     after the newest event time, ``pages`` the number of state pages (by default one per 64 KB of input, so that a
     page holds some hundred keys at any size). Extra columns are not read. An empty table gives no rows.
     """
+    ship_package(spark)
     pages = pages or max(256, input_bytes(spark, path) // 65536)
     root = fresh_dir(spark, "dedup")
     events, late = f"{root}/events", f"{root}/late"
