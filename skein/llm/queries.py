@@ -5,11 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import encode, leak, pieces, seen
+from skein.llm import boilerplate, encode, leak, pieces, seen, truncation
 from skein.llm.tokens import Vocabulary
 from skein.runtime import stage, table
 
 
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = table(spark, sf_dir, "redirected_urls")
+    more = sent.select(F.explode(F.array("url", "redirects_to", "referrer_id")).alias("value"))
+    return truncation.cut_fields(table(spark, sf_dir, "crawled_urls"), more)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir)
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each fetcher cuts each field."""
+    rows = table(spark, sf_dir, "crawled_urls").select("row_id", "fetcher")
+    cut = stage(_cut(spark, sf_dir), "cut")
+    fields = F.explode(F.array(*[F.lit(f) for f in (*truncation.ADDRESSES, "response_headers")])).alias("field_name")
+    every = rows.select("row_id", "fetcher", fields).join(cut.withColumn("cut", F.lit(1)), ["row_id", "field_name"], "left")
+    counted = every.groupBy("fetcher", "field_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count("cut").alias("n_cut"))
+    return counted.withColumn("share", F.col("n_cut") / F.col("n_rows"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_body(table(spark, sf_dir, "crawled_content"))
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.body_text(table(spark, sf_dir, "crawled_content"))
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.seen_before(table(spark, sf_dir, "crawled_urls"), table(spark, sf_dir, "seen_urls"))
 
@@ -49,7 +77,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_pieces(table(spark, sf_dir, "documents"), Vocabulary(spark))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p8_ids, p9_found, p9_items, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_bodies, p4_found, p4_rates, p8_ids, p9_found, p9_items, p10_found, p10_pieces)}
 
 _ID = r"regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
 _KEY = f"lower(regexp_extract({_ID}, '^([^?/:]*)', 1)) || substr({_ID}, length(regexp_extract({_ID}, '^([^?/:]*)', 1)) + 1)"
