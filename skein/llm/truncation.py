@@ -100,28 +100,30 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     ``rows`` is (row_id, fetcher, url, raw_url, referrer_id); ``elsewhere`` has more addresses in a column value,
     among which longer copies are looked for. Null and empty values are whole.
     """
-    full = canonical_url(F.col("raw_url"), drop_fragment=True)
-    own = stage(
-        rows.select("row_id", F.coalesce("fetcher", F.lit("")).alias("fetcher"), "url", "raw_url", "referrer_id", address_id(F.col("url")).alias("id"), address_id(full).alias("raw_id")),
-        "addresses",
-    )
+    sides = rows.select(
+        "row_id", F.coalesce("fetcher", F.lit("")).alias("fetcher"), "referrer_id", address_id(F.col("url")).alias("id"),
+        address_id(canonical_url(F.col("raw_url"), drop_fragment=True)).alias("raw_id"),
+        *[F.length(f).alias(f"{f}_chars") for f in ADDRESSES], *[F.xxhash64(f).alias(f"{f}_hash") for f in ADDRESSES],
+    )
+    same = F.coalesce(F.col("id") == F.col("raw_id"), F.lit(False))
+    # the canonical raw address is kept only where it differs from the url
+    own = stage(sides.withColumn("same", same).withColumn("raw_id", F.when(~F.col("same"), F.col("raw_id"))), "addresses")
     ids = own.select(F.explode(F.array("id", "raw_id", "referrer_id")).alias("value"))
     ids = ids.union(elsewhere.select(address_id(F.col("value")))) if elsewhere is not None else ids
     shorter = stage(strict_prefixes(ids).filter(_words_end(F.col("value"), F.col("longer"))).select("value").distinct(), "shorter")
 
-    measured = own.select("fetcher", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.length(f).alias("n_chars"), F.xxhash64(f).alias("h")) for f in ADDRESSES])).alias("x")).select("fetcher", "x.*")
-    limits = field_limits(measured)
+    of = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"{f}_chars").alias("n_chars"), F.col(f"{f}_hash").alias("h"))
+    limits = field_limits(own.select("fetcher", F.explode(F.array(*map(of, ADDRESSES))).alias("x")).select("fetcher", "x.*"))
     wide = limits.groupBy("fetcher").pivot("field", list(ADDRESSES)).agg(F.max("at"))
     held = own.join(wide.withColumnsRenamed({f: f"{f}_at" for f in ADDRESSES}), "fetcher", "left")
-    marked = held
-    for field, key in (("url", "id"), ("raw_url", "raw_id"), ("referrer_id", "referrer_id")):
+    marked = held.withColumn("raw_key", F.when(F.col("same"), F.col("id")).otherwise(F.col("raw_id")))
+    for field, key in (("url", "id"), ("raw_url", "raw_key"), ("referrer_id", "referrer_id")):
         marked = marked.join(shorter.select(F.col("value").alias(key), F.lit(True).alias(f"{field}_short")), key, "left")
-    at = {f: F.coalesce(F.length(f) == F.col(f"{f}_at"), F.lit(False)) for f in ADDRESSES}
+    at = {f: F.coalesce(F.col(f"{f}_chars") == F.col(f"{f}_at"), F.lit(False)) for f in ADDRESSES}
     short = {f: F.coalesce(f"{f}_short", F.lit(False)) for f in ADDRESSES}
-    both = F.col("id").isNotNull() & F.col("raw_id").isNotNull()
-    same = both & (F.col("id") == F.col("raw_id"))
-    url_less = both & ~same & F.col("raw_id").startswith(F.col("id"))
-    raw_less = both & ~same & F.col("id").startswith(F.col("raw_id"))
+    same = F.col("same")
+    url_less = F.coalesce(~same & F.col("raw_id").startswith(F.col("id")), F.lit(False))
+    raw_less = F.coalesce(~same & F.col("id").startswith(F.col("raw_id")), F.lit(False))
     # a whole raw address that gives this url shows that the url is whole, and the other way round
     url_cut = url_less | (at["url"] & ~(same & ~at["raw_url"])) | (short["url"] & ~raw_less)
     raw_cut = raw_less | (at["raw_url"] & ~(same & ~at["url"])) | (short["raw_url"] & ~url_less)
