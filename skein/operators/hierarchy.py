@@ -10,10 +10,11 @@ node d is a descendant of a exactly if both have one root and a.pre <= d.pre < a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
+from skein.operators.ranking import running_sums
 from skein.runtime import drop_staged, stage
 
 
@@ -137,25 +138,9 @@ def preorder(tree: DataFrame) -> DataFrame:
 
 
 def _sibling_offsets(nodes: DataFrame) -> DataFrame:
-    """(node, parent, offset): 1 plus the sizes of the siblings before the node.
-
-    The siblings of one parent may be a third of all rows, so they are range-partitioned by parent and node: a
-    prefix sum within each part, plus what the same parent has in earlier parts (one row for each part and parent
-    that starts there).
-    """
-    parts = stage(
-        nodes.select("node", "parent", "size").repartitionByRange("parent", "node").withColumn("part", F.spark_partition_id()), "siblings"
-    )
-    within = Window.partitionBy("part", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("part", "parent").agg(F.sum("size").alias("total"))
-    spread = sums.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("parent")
-    before = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.join(spread, "parent", "left_semi").withColumn("carried", F.sum("total").over(before)).select("part", "parent", "carried")
-    return (
-        parts.withColumn("inner", F.sum("size").over(within))
-        .join(carried, ["part", "parent"], "left")
-        .select("node", "parent", (1 + F.coalesce("inner", F.lit(0)) + F.coalesce("carried", F.lit(0))).alias("offset"))
-    )
+    """(node, parent, offset): 1 plus the sizes of the siblings before the node, whatever the number of siblings."""
+    summed = running_sums(nodes.select("node", "parent", "size"), ["parent"], ["node"], {"inner": F.col("size")}, inclusive=False)
+    return summed.select("node", "parent", (F.col("inner") + 1).alias("offset"))
 
 
 def address_links(rows: DataFrame, redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
