@@ -73,21 +73,18 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, strict: bool =
     path = F.col("path") if strict else F.lower("path")
     ended = path.endswith("$")
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([\\.\[\]{}()+?^$|])", r"\\$1"), r"\*", ".*")
-    ruled = held.filter("path <> ''").select(
-        F.col("domain").alias("rule_domain"), F.concat(F.lit("^"), pattern, F.when(ended, F.lit("$")).otherwise(F.lit(""))).alias("pattern"),
-        F.length("path").alias("weight"), (F.lower("rule") == "allow").alias("allow"),
+    rule = F.struct(
+        F.concat(F.lit("^"), pattern, F.when(ended, F.lit("$")).otherwise(F.lit(""))).alias("pattern"), F.length("path").alias("weight"), (F.lower("rule") == "allow").alias("allow")
     )
+    # the rules of a domain are one file; they meet the rows in one join, and no row is multiplied
+    ruled = held.filter("path <> ''").groupBy(F.col("domain").alias("_domain")).agg(F.collect_list(rule).alias("_rules"))
     rest = F.regexp_replace("id", "^[^/?]*", "")
     target = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
-    best = (
-        keyed.select("_row", "domain", (target if strict else F.lower(target)).alias("target"))
-        .join(ruled, F.col("domain") == F.col("rule_domain"))
-        .filter(F.expr("target rlike pattern"))
-        .groupBy("_row").agg(F.max(F.struct("weight", "allow")).alias("best"))
-        .select("_row", F.col("best.allow").alias("best_allow"))
-    )
-    return keyed.join(best, "_row", "left").withColumn("allowed", F.coalesce("best_allow", F.lit(True))).drop("_row", "best_allow")
+    target = target if strict else F.lower(target)
+    hits = F.filter("_rules", lambda r: F.rlike(target, r["pattern"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["weight"], r["allow"].alias("allow"))))
+    joined = urls.join(ruled, F.col("domain") == F.col("_domain"), "left")
+    return joined.withColumn("allowed", F.coalesce(best.getField("allow"), F.lit(True))).drop("_domain", "_rules")
 
 
 def robots_reasons(urls: DataFrame, rules: DataFrame, agent: str, strict: bool = False) -> DataFrame:
