@@ -145,7 +145,7 @@ def format_http_date(at: Column) -> Column:
 def header(headers: Column, name: str) -> Column:
     """Value of a header, its name in any letter case."""
     held = F.map_filter(headers, lambda k, v: F.lower(k) == name)
-    return F.element_at(F.map_values(held), 1)
+    return F.get(F.map_values(held), 0)
 
 
 def content_type(value: Column) -> Column:

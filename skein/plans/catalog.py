@@ -1,7 +1,7 @@
 """All queries of the core and their SQL."""
 
-from skein.plans import corpus, links, urls
+from skein.plans import content, corpus, links, urls
 
-MODULES = (corpus, urls, links)
+MODULES = (corpus, urls, links, content)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
