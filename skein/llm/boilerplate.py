@@ -138,10 +138,10 @@ def parse_plain(text: str) -> tuple[list[tuple[int, int, str]], list[str], int,
 
 
 def text_hash(text: str) -> int:
-    """64-bit hash of a text with its numbers and letter case left out."""
+    """64-bit hash of a text in any letter case."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(re.sub(r"\d+", "0", text.lower())) - (1 << 63)
+    return xxhash.xxh64_intdigest(text.lower()) - (1 << 63)
 
 
 def inside(slots: list[str], outer: int) -> set[int]:

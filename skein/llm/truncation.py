@@ -176,6 +176,7 @@ def cut_headers(rows: DataFrame) -> DataFrame:
         hit = rare.filter(F.col("look") == look).select("name", F.col("text").alias(look), F.lit(True).alias(f"{look}_rare"))
         marked = marked.join(hit, ["name", look], "left")
     rarity = F.coalesce("value_rare", F.lit(False)) | F.coalesce("shape_rare", F.lit(False)) | F.coalesce("last_rare", F.lit(False))
+    rarity = rarity & ~F.col("value").rlike(r"^-?\d+$")  # a number is no part of anything
     judged = stage(marked.select("row_id", "fetcher", "name", "value", F.length("value").alias("n_chars"), (rarity | _unclosed(F.col("name"), F.col("value"))).alias("cut")), "judged")
     limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", F.xxhash64("value").alias("h"))).withColumnsRenamed({"field": "name", "at": "n_chars"})
     # a limit of a header counts if most of the values that have its length are visibly cut
