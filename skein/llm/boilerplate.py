@@ -210,7 +210,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
         F.sum(F.when(large, F.col("n"))).alias("with"), F.sum(F.when(large, F.col("n_host"))).alias("of"),
     ).filter("total >= 2")
     shared = (F.col("n_hosts") >= LEAST_PAGES) & (F.col("with") >= COMMON * F.col("of"))
-    own = (F.col("n_hosts") < LEAST_PAGES) & (F.col("n_host") > LEAST_PAGES) & (F.col("n") >= COMMON * F.col("n_host"))
+    own = (F.col("n_hosts") < LEAST_PAGES) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= COMMON * F.col("n_host"))
     chosen = texts.join(known, "token").filter(shared | own).groupBy("host").agg(F.collect_list(F.col("token").cast("long")).alias("texts"))
     return main.join(chosen, "host", "full")
 
