@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from skein.functions.ids import SCHEME, address_id, host_of
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "example.net")
 
 
-def _text(value: str) -> Column:
-    return F.lit(value)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def remove_dot_segments(path: Column) -> Column:
@@ -36,16 +39,21 @@ def canonical_url(raw: Column, lower_path: bool = True, drop_fragment: bool = Fa
     The path is in lower case and, where it is empty, ``/`` only if ``drop_fragment`` is off; the query keeps its case.
     A null stays null.
     """
-    raw = F.trim(raw)
-    scheme = F.lower(F.when(raw.rlike(SCHEME), F.regexp_extract(raw, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1)).otherwise("http"))
-    rest = F.regexp_replace(raw, SCHEME, "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), ":$", "")
-    port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    path = F.lower(path) if lower_path else path
-    tail = F.regexp_extract(rest, r"^[^?#]*((?s).*)$", 1)
-    tail = F.regexp_replace(tail, "(?s)#.*", "") if drop_fragment else tail
-    return F.concat(scheme, F.lit("://"), port, remove_dot_segments(path), tail)
+
+    def whole(raw: Column) -> Column:
+        scheme = F.lower(F.when(raw.rlike(SCHEME), F.regexp_extract(raw, r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://", 1)).otherwise("http"))
+        return let(scheme, lambda s: let(F.regexp_replace(raw, SCHEME, ""), lambda rest: parts(s, rest)))
+
+    def parts(scheme: Column, rest: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), ":$", "")
+        port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+        path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+        path = let(F.lower(path) if lower_path else path, remove_dot_segments)
+        tail = F.regexp_extract(rest, r"^[^?#]*((?s).*)$", 1)
+        tail = F.regexp_replace(tail, "(?s)#.*", "") if drop_fragment else tail
+        return F.concat(scheme, F.lit("://"), port, path, tail)
+
+    return let(F.trim(raw), whole)
 
 
 def rooted(url: Column) -> Column:
@@ -77,7 +85,10 @@ def change_scheme(url: Column, scheme: Column) -> Column:
 
 def join_url(base: Column, reference: Column) -> Column:
     """RFC 3986 section 5.2: the URL that ``reference`` names on the page ``base``."""
-    reference = F.trim(reference)
+    return let(base, lambda b: let(F.trim(reference), lambda r: _join(b, r)))
+
+
+def _join(base: Column, reference: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
     authority = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     base_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
@@ -92,8 +103,8 @@ def join_url(base: Column, reference: Column) -> Column:
         .when(reference == "", before_fragment)
         .when(reference.startswith("#"), F.concat(before_fragment, reference))
         .when(reference.startswith("?"), F.concat(before_query, reference))
-        .when(reference.startswith("/"), F.concat(authority, remove_dot_segments(path), tail))
-        .otherwise(F.concat(authority, remove_dot_segments(F.concat(folder, path)), tail))
+        .when(reference.startswith("/"), F.concat(authority, let(path, remove_dot_segments), tail))
+        .otherwise(F.concat(authority, let(F.concat(folder, path), remove_dot_segments), tail))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
-from skein.functions.urls import canonical_url, join_url, rooted
+from skein.functions.urls import canonical_url, join_url, let, rooted
 
 ATTRIBUTE = r"""(?i)\b(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 OBJECT_DATA = r"""(?i)<object\b[^>]*?\bdata\s*=\s*(?:"[^"]*"|'[^']*')"""
@@ -34,8 +34,9 @@ def html_links(pages: DataFrame) -> DataFrame:
     """
     base = F.regexp_extract("body", BASE, 1)
     around = F.when(base != "", join_url(F.col("url"), base)).otherwise(F.col("url"))
-    links = pages.select("page_id", F.col("url").alias("page_url"), around.alias("base"), F.explode(F.regexp_extract_all("body", F.lit(ATTRIBUTE), 0)).alias("found"))
-    values = links.select("page_id", "page_url", "base", _bare(F.col("found")).alias("value")).filter(wanted(F.col("value")))
+    # all that needs the body comes before the links are made rows
+    found = pages.select("page_id", F.col("url").alias("page_url"), around.alias("base"), F.regexp_extract_all("body", F.lit(ATTRIBUTE), 0).alias("found"))
+    values = found.withColumn("found", F.transform("found", _bare)).select("page_id", "page_url", "base", F.explode("found").alias("value")).filter(wanted(F.col("value")))
     return values.select("page_id", "page_url", "value", join_url(F.col("base"), F.col("value")).alias("link"))
 
 
@@ -110,7 +111,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def link_edges(links: DataFrame) -> DataFrame:
     """(page_id, referrer_id, id, link): canonical, one row per page and id, without links of a page to itself."""
-    canonical = rooted(canonical_url(F.col("link"), drop_fragment=True))
-    page = address_id(rooted(canonical_url(F.col("page_url"), drop_fragment=True)))
-    rows = links.select("page_id", page.alias("referrer_id"), address_id(canonical).alias("id"), canonical.alias("link"))
-    return rows.filter("id <> referrer_id").dropDuplicates(["page_id", "id"])
+    whole = lambda c: rooted(canonical_url(F.col(c), drop_fragment=True))
+    # the page's own id is worked out once for each page, not for each link
+    pages = links.select("page_id", "page_url").distinct().select("page_id", address_id(whole("page_url")).alias("referrer_id"))
+    ids = links.select("page_id", let(whole("link"), lambda u: F.struct(u.alias("link"), address_id(u).alias("id"))).alias("l"))
+    once = ids.groupBy("page_id", "l.id").agg(F.min("l.link").alias("link"))
+    return once.join(pages, "page_id").filter("id <> referrer_id").select("page_id", "referrer_id", "id", "link")

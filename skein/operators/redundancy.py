@@ -21,7 +21,7 @@ PARAMETER_SUPPORT = 10
 def nodes(urls: DataFrame) -> DataFrame:
     """One row per node of each row's id, with ``domain``, ``node`` and ``role`` (path, leaf or key); other columns stay.
 
-    Path and key nodes at one place with one text are one node.
+    Path and key nodes at one place with one text are one node; one URL has each of its nodes once.
     """
     tokens = url_tokens(F.col("id"))
     n = F.size("tokens")
@@ -40,10 +40,10 @@ def support(log: DataFrame) -> DataFrame:
     """(domain, node, support) after all inserts of the log (seq, id, redundant), seq being unique.
 
     A node is pinned if some insert that is not redundant is not its first: either more than one such insert, or
-    the first of all inserts is another. Both follow from minima and counts, without sorting a node's inserts.
+    the first of all inserts is another. Both follow from minima and counts, which partial sums and a stream's state
+    hold as well: over a stream this gives, in update mode, the support of every node that a batch touched.
     """
-    per = nodes(log).groupBy("domain", "node", "seq").agg(F.max("redundant").alias("redundant"))
-    found = per.groupBy("domain", "node").agg(
+    found = nodes(log).groupBy("domain", "node").agg(
         F.count_if("redundant").alias("n_redundant"), F.count_if(~F.col("redundant")).alias("n_other"), F.min("seq").alias("first"),
         F.min(F.when(~F.col("redundant"), F.col("seq"))).alias("first_other"),
     )
@@ -76,7 +76,7 @@ def probe(urls: DataFrame, supports: DataFrame, path: int = PATH_SUPPORT, file:
 
 def probe_as_of(log: DataFrame, path: int = PATH_SUPPORT, file: int = FILE_SUPPORT, parameter: int = PARAMETER_SUPPORT) -> DataFrame:
     """(seq, redundant) of each insert, held against the inserts before it only."""
-    spread = nodes(log).groupBy("domain", "node", "seq").agg(F.max("redundant").alias("redundant"), F.max("role").alias("role"))
+    spread = nodes(log).select("domain", "node", "seq", "redundant", "role")
     order = (["domain", "node"], ["seq"])
     numbered = place(spread, *order)
     pins = F.when(~F.col("redundant") & (F.col("rn") > 1), 1).otherwise(0)

@@ -58,13 +58,12 @@ def stream_redundancy_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supports kept as state per node; the last value of each node."""
     rows = S.open_stream(spark, f"{sf_dir}/crawled_urls.parquet", ["row_id", "url", "original"])
     log = rows.filter("original is not null").select(F.col("row_id").alias("seq"), address_id(F.col("url")).alias("id"), (F.col("original") != "self").alias("redundant"))
-    nodes = R.nodes(log).select("domain", "node", "seq", "redundant")
 
     def work(batch: DataFrame, number: int, folder: str) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    folder = S.run_batches(S.node_supports(nodes), "redundancy", work, "update")
-    held = spark.read.schema(f"{S.NODE_OUT}, batch long").parquet(f"{folder}/out")
+    folder = S.run_batches(R.support(log), "redundancy", work, "update")
+    held = spark.read.schema("domain string, node string, support long, batch long").parquet(f"{folder}/out")
     last = held.groupBy("domain", "node").agg(F.max(F.struct("batch", "support")).getField("support").alias("support"))
     return last.withColumn("node", F.replace("node", F.lit("\u0001"), F.lit("|")))
 
