@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.config import JOB_NAME
 
+# Fixed value: the format of user agents.
 USER_AGENT = "Mozilla/5.0 (compatible; %s/1.0; ID %s)"
 
 

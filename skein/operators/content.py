@@ -7,14 +7,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.urls import storage_key
 from skein.runtime import stage
 
 STAGNATION = 10  # a page that has not changed for ten times as long as it is old in the cache is taken from the cache
-STORED_HEADERS = ("content-type", "content-disposition", "content-language", "content-encoding")
+# Response headers that are kept with a stored body.
+STORED_HEADERS = ("content-type", "content-disposition", "content-language", "expires")
 CODECS = ("none", "gzip", "deflate")
 
 
@@ -176,8 +177,8 @@ def request_headers(referrer: Column, modified: Column, etag: Column) -> Column:
 
 
 def decode_text(body: Column, charset_name: Column) -> Column:
-    """Text of a body in UTF-8 or, where it names another single-byte charset or none fits, Latin-1."""
-    utf8 = F.coalesce(charset_name, F.lit("utf-8")).isin("utf-8", "utf8", "us-ascii") & F.expr("is_valid_utf8(cast({} as string))".format("body"))
+    """Text of a body in the charset it names (UTF-8 if none) where that is UTF-8 and the bytes are valid, else Latin-1."""
+    utf8 = F.coalesce(charset_name, F.lit("utf-8")).isin("utf-8", "utf8", "us-ascii") & F.is_valid_utf8(body.cast("string"))
     return F.when(utf8, F.decode(body, "utf-8")).otherwise(F.decode(body, "iso-8859-1"))
 
 
@@ -208,10 +209,10 @@ def store_rows(pages: DataFrame) -> DataFrame:
     """(key, body, meta) of crawled pages (id, url, original, body, response_headers); of one key the last row by fetched counts."""
     kept = F.map_filter("response_headers", lambda k, v: F.lower(k).isin(*STORED_HEADERS) & v.isNotNull())
     own = F.create_map(F.lit("original_url"), F.col("url"), F.lit("original"), storage_key(F.coalesce("original", F.lit("self"))))
-    rows = pages.withColumn("key", storage_key(F.col("id")))
-    last = Window.partitionBy("key").orderBy(F.desc_nulls_last("fetched"), "id")
-    ranked = rows.withColumn("rn", F.row_number().over(last)).filter("rn = 1")
-    return ranked.select("key", "body", F.map_concat(own, F.transform_keys(kept, lambda k, v: F.lower(k))).alias("meta"))
+    order = F.struct(-F.coalesce("fetched", F.lit(float("-inf"))), F.col("id"))
+    row = F.struct("body", F.map_concat(own, F.transform_keys(kept, lambda k, v: F.lower(k))).alias("meta"))
+    best = pages.groupBy(storage_key(F.col("id")).alias("key")).agg(F.min_by(row, order).alias("best"))
+    return best.select("key", "best.body", "best.meta")
 
 
 def cache_lookup(wanted: DataFrame, store: DataFrame) -> DataFrame:

@@ -173,3 +173,44 @@ def test_message_codec(spark):
     assert got == {1: (False, "http://h"), 2: (True, None), 3: (True, None), 4: (True, None), 5: (True, None)}
     with pytest.raises(ValueError):
         versions.read_rows(rows, 9)
+
+
+def test_reports(spark):
+    from skein.operators import reports
+
+    gauges = spark.createDataFrame([("c1", 2, 3.5)], "consumer string, a long, b double")
+    got = {(r.name, r.unit, tuple(r.dimensions.items()), r.value) for r in reports.metric_rows(gauges, {"a": "Count", "b": "Count/Second"}, "consumer").collect()}
+    assert got == {("a", "Count", (("consumer", "c1"),), 2.0), ("b", "Count/Second", (("consumer", "c1"),), 3.5)}
+    plan = reports.assignment_plan(spark.createDataFrame([("a", False, 0), ("b", True, 0), ("c", False, 5), ("d", True, 1)], "queue string, active boolean, waiting long"), 3)
+    assert {r.queue: r.consumer_no for r in plan.collect()} == {"b": 0, "d": 1, "c": 2, "a": 0}
+    files = spark.createDataFrame([("h", 0.0, 9e9, False), ("h", 10.0, 9e9, True), ("k", 0.0, 9e9, False)], "domain string, at double, expires double, failed boolean")
+    assert {r.domain: r.refetch for r in reports.robots_cache(files, F.lit(4000.0)).collect()} == {"h": True, "k": False}
+    assert reports.latest(spark.createDataFrame([], "image string, created long"), "created", "image").count() == 0
+
+
+def test_crawl_step_and_its_stream(spark, tmp_path):
+    import base64
+    import json
+
+    from skein.streaming import windows
+    from skein.streaming.crawl import crawl_step, run_crawl
+
+    def message(url):
+        return base64.b64encode(json.dumps({"url": url, "id": url.split("://")[1]}).encode()).decode()
+
+    rows = [(1, message("http://h/a")), (2, message("http://h/a")), (3, message("http://o/x")), (4, "broken"), (5, message("http://h/gone")), (6, message("http://h/new")), (7, None)]
+    messages = spark.createDataFrame(rows, "delivery_id long, frontier_message string")
+    crawled = spark.createDataFrame([("h/a", 200), ("h/gone", 410)], "id string, http_status int")
+    bodies = spark.createDataFrame([("h/a", 9)], "key string, content_id long")
+    scope = Scope(include_domains=("h",))
+    routed, dead = crawl_step(messages, crawled, bodies, scope)
+    want = {"h/a": ("crawled", 9), "o/x": ("skipped", None), "h/gone": ("failed", None), "h/new": ("requeue", None)}
+    assert {r.id: (r.outcome, r.content_id) for r in routed.collect()} == want
+    assert {r.delivery_id for r in dead.collect()} == {4, 7}
+    path = str(tmp_path / "m.parquet")
+    for part in (rows[:3], rows[1:5], rows[5:]):
+        spark.createDataFrame(part, messages.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = windows.read_stream(spark, path, messages.schema, 1)
+    folder = run_crawl(stream, crawled, bodies, scope, windows.run_batches)
+    got = [(r.id, r.outcome) for r in spark.read.parquet(f"{folder}/routed").collect()]
+    assert sorted(got) == sorted((i, o) for i, (o, _) in want.items())
