@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -38,14 +39,20 @@ def ship_package(spark: SparkSession) -> None:
         return
     _shipped.add(application)
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="skein-"), "skein.zip")  # read by the driver only, which serves it to the others
-    with zipfile.ZipFile(path, "w") as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
         for folder, _, files in os.walk(here):
             for file in files:
                 if file.endswith(".py"):
                     full = os.path.join(folder, file)
                     archive.write(full, os.path.join("skein", os.path.relpath(full, here)))
-    spark.sparkContext.addPyFile(path)
+    path = f"{fresh_dir(spark, 'package')}/skein.zip"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(hpath)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(files.makeQualified(hpath).toString())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
