@@ -145,7 +145,7 @@ def seen_before(rows: DataFrame, earlier: DataFrame, remainder_bits: int = 16) -
     probes = firsts.select("row_id", "fp", layout.shard(F.col("fp")).alias("shard"))
     candidates = stage(probes.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_probe(layout), "row_id long"), "candidates")
     # the exact check, of candidates only: earlier keys that share a fingerprint with one of them
-    open_ = stage(firsts.join(candidates, "row_id"), "open")
+    open_ = stage(firsts.join(candidates.hint("merge"), "row_id"), "open")
     wanted = open_.select("fp").distinct()
     before = keys.select("key", fp.alias("fp"), F.lit(None).cast("long").alias("row_id")).unionByName(firsts).join(wanted, "fp", "left_semi")
     known = before.groupBy("key").agg(F.count(F.when(F.col("row_id").isNull(), 1)).alias("n_earlier"), F.min("row_id").alias("first_id"))
