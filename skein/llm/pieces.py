@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.tokens import Vocabulary
 
-# Strength of the place after a match, strongest last so that it overwrites.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True  # white space of one byte
+# Strength of the place after a match, strongest last so that it overwrites. White space of one byte (1) is found without a pattern.
 BOUNDARIES = [
-    (1, re.compile(r"\s+")),
+    (1, re.compile(r"[^\S\x00-\x7f]+")),
     (2, re.compile(r"[,;:)\]}、，；：]+\s*")),
     (3, re.compile(r"[.!?…]+[\"')\]]*\s+|[。！？]+[”」]*\s*")),
     (4, re.compile(r"\s*(?:\r\n|\r|\n)\s*")),
@@ -28,15 +30,24 @@ BOUNDARIES = [
 PIECE_SCHEMA = "doc_id long, piece_no int, n_pieces int, n_tokens int, start_char int, end_char int, boundary int, text string"
 
 
-def _strengths(text: str, ends: np.ndarray, to_byte: np.ndarray) -> np.ndarray:
-    """Strength of the cut after each token: -1 inside a character, 0 inside a word, up to 5 between paragraphs."""
-    at_byte = np.full(int(to_byte[-1]) + 1, -1, np.int8)
-    at_byte[to_byte] = 0
+def _strengths(text: str, data: np.ndarray, ends: np.ndarray, to_byte: np.ndarray | None) -> np.ndarray:
+    """Strength of the cut after each token: -1 inside a character, 0 inside a word, up to 5 between paragraphs.
+
+    ``data`` has the bytes of the text, ``to_byte`` the byte of each character (none if all are ASCII).
+    """
+    at_byte = np.zeros(len(data) + 1, np.int8)
+    if to_byte is not None:
+        at_byte[:] = -1
+        at_byte[to_byte] = 0
+    space = SPACES[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    at_byte[edge] = 1
+    byte = (lambda c: c) if to_byte is None else to_byte.__getitem__
     for strength, pattern in BOUNDARIES:
         for match in pattern.finditer(text):
             # white space goes with the token after it, so a cut before the white space counts as well
             bare = match.start() + len(match.group().rstrip()) if strength in (2, 3) else match.start()
-            at_byte[to_byte[match.end()]] = at_byte[to_byte[bare]] = strength
+            at_byte[byte(match.end())] = at_byte[byte(bare)] = strength
     return at_byte[ends]
 
 
@@ -47,10 +58,11 @@ def cut(text: str, encode, table_lengths: np.ndarray, limit: int, overlap: int)
     if n <= limit:
         return [(0, len(text), n, 5)]
     ends = np.cumsum(table_lengths[tokens])
-    sizes = np.fromiter((1 if c < "\x80" else len(c.encode("utf-8")) for c in text), np.int64, len(text))
-    to_byte = np.concatenate([[0], np.cumsum(sizes)])
-    strength = np.concatenate([[5], _strengths(text, ends, to_byte)])  # by number of tokens before the cut
-    at_char = lambda t: int(np.searchsorted(to_byte, ends[t - 1])) if t else 0
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    to_byte = None if len(data) == len(text) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    strength = np.concatenate([[5], _strengths(text, data, ends, to_byte)])  # by number of tokens before the cut
+    char_of = ends if to_byte is None else np.searchsorted(to_byte, ends)
+    at_char = lambda t: int(char_of[t - 1]) if t else 0
     step = limit - overlap
     least = -(-(n - overlap) // step)
     best = None
