@@ -94,6 +94,25 @@ def _words_end(value: Column, longer: Column) -> Column:
     return after.rlike(r"[\p{L}\p{N}&=+%_-]") & value.rlike(r"[\p{L}\p{N}&=+%_.?-]$")
 
 
+LAST_WORD = r"(?:^|[^A-Za-z0-9])([A-Za-z]+)$"
+WORDS = r"(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])"
+
+
+def cut_words(ids: DataFrame) -> DataFrame:
+    """(last_word) of the words of addresses that are strict prefixes of words RARE times as frequent, so that an address can't end in them.
+
+    ``ids`` has a column value; the words after the host count, those of letters only.
+    """
+    path = F.regexp_extract("value", "^[^/]*/(.*)$", 1)
+    counts = stage(ids.select(F.explode(F.regexp_extract_all(path, F.lit(WORDS), 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    stems = (
+        counts.filter((F.col("n") >= RARE) & (F.length("word") > 1))
+        .select("n", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"))
+        .groupBy(F.substr("word", F.lit(1), F.col("k")).alias("word")).agg(F.max("n").alias("common"))
+    )
+    return counts.join(stems, "word").filter(F.col("common") >= RARE * F.col("n")).select(F.col("word").alias("last_word"))
+
+
 def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
     """(row_id, field_name) of the url, raw_url and referrer_id values that end too early.
 
@@ -112,6 +131,8 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     ids = ids.union(elsewhere.select(address_id(F.col("value")))) if elsewhere is not None else ids
     shorter = stage(strict_prefixes(ids).filter(_words_end(F.col("value"), F.col("longer"))).select("value").distinct(), "shorter")
 
+    partial = cut_words(ids).withColumn("last_cut", F.lit(True))
+
     of = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"{f}_chars").alias("n_chars"), F.col(f"{f}_hash").alias("h"))
     limits = field_limits(own.select("fetcher", F.explode(F.array(*map(of, ADDRESSES))).alias("x")).select("fetcher", "x.*"))
     wide = limits.groupBy("fetcher").pivot("field", list(ADDRESSES)).agg(F.max("at"))
@@ -119,6 +140,9 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     marked = held.withColumn("raw_key", F.when(F.col("same"), F.col("id")).otherwise(F.col("raw_id")))
     for field, key in (("url", "id"), ("raw_url", "raw_key"), ("referrer_id", "referrer_id")):
         marked = marked.join(shorter.select(F.col("value").alias(key), F.lit(True).alias(f"{field}_short")), key, "left")
+    tail = F.when(F.col("referrer_id").contains("/"), F.regexp_extract("referrer_id", LAST_WORD, 1))
+    marked = marked.withColumn("last_word", tail).join(partial, "last_word", "left")
+    broken = F.coalesce("last_cut", F.lit(False)) | F.coalesce(F.col("referrer_id").rlike("%[0-9A-Fa-f]?$"), F.lit(False))
     at = {f: F.coalesce(F.col(f"{f}_chars") == F.col(f"{f}_at"), F.lit(False)) for f in ADDRESSES}
     short = {f: F.coalesce(f"{f}_short", F.lit(False)) for f in ADDRESSES}
     same = F.col("same")
@@ -130,7 +154,7 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     found = F.array_compact(
         F.array(
             F.when(url_cut, "url"), F.when(raw_cut, "raw_url"),
-            F.when((at["referrer_id"] | short["referrer_id"]) & (F.col("referrer_id") != ""), "referrer_id"),
+            F.when((at["referrer_id"] | short["referrer_id"] | broken) & (F.col("referrer_id") != ""), "referrer_id"),
         )
     )
     return marked.select("row_id", F.explode(found).alias("field_name"))

@@ -36,6 +36,14 @@ def test_addresses(spark):
     assert (5, "referrer_id") in found(spark, rows, elsewhere=more)
 
 
+def test_referrers_that_end_in_part_of_a_word(spark):
+    rows = [("f", f"http://h.test/d{i}/copper-garden.html", f"http://h.test/d{i}/copper-garden.html", f"k.test/{i}/garden-copper", {}) for i in range(50)]
+    tails = ["garden-cop", "garden.ht", "caf%c3%a", "caf%", "gardener", "garden"]
+    rows += [("f", None, None, f"o{i}.test/x{i}/{t}", {}) for i, t in enumerate(tails)]
+    rows.append(("f", None, None, "copper.ht", {}))
+    assert found(spark, rows) == {(50 + i, "referrer_id") for i in range(4)}
+
+
 def test_field_limits(spark):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
