@@ -99,6 +99,7 @@ SELECT delivery_id FROM (
   SELECT delivery_id, row_number() OVER (PARTITION BY queue, k ORDER BY received_at NULLS LAST, delivery_id) AS rn FROM ({_KEYED}) AS keyed
 ) AS ranked WHERE rn > 1
 """
+_ID = r"regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
 _HOST = r"regexp_extract(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^([^?/:]*)', 1)"
 
 SQL = {
@@ -114,6 +115,16 @@ GROUP BY queue HAVING count(*) >= 0.02 * (SELECT count(*) FROM frontier_messages
 UNION ALL
 SELECT 'host' AS key_kind, host AS key_value FROM (SELECT {_HOST} AS host FROM crawled_urls WHERE url IS NOT NULL) AS h
 GROUP BY host HAVING count(*) >= 0.02 * (SELECT count(*) FROM crawled_urls)
+""",
+    "p7_found": rf"""
+WITH RECURSIVE rows_ AS (SELECT row_id, {_ID} AS id, referrer_id FROM crawled_urls WHERE url IS NOT NULL UNION ALL SELECT row_id, {_ID} AS id, referrer_id FROM redirected_urls WHERE url IS NOT NULL),
+node AS (SELECT id, min(row_id) AS node, arg_min(referrer_id, row_id) FILTER (WHERE referrer_id IS NOT NULL) AS ref FROM rows_ GROUP BY id),
+sent AS (SELECT regexp_replace(redirects_to, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id, arg_min({_ID}, row_id) AS source FROM redirected_urls WHERE redirects_to IS NOT NULL AND url IS NOT NULL GROUP BY 1),
+link AS (SELECT n.node, p.node AS parent FROM node n LEFT JOIN sent s ON n.id = s.id JOIN node p ON p.id = coalesce(s.source, n.ref)),
+above AS (SELECT node, parent AS anc FROM link UNION SELECT a.node, l.parent FROM above a JOIN link l ON a.anc = l.node),
+cyclic AS (SELECT node FROM above WHERE node = anc)
+SELECT a.node AS row_id, min(a.anc) AS root_id FROM above a LEFT JOIN link l ON a.anc = l.node LEFT JOIN cyclic c ON a.anc = c.node
+WHERE l.node IS NULL OR c.node IS NOT NULL GROUP BY a.node
 """,
     "p6_figures": f"""
 SELECT 'queue' AS key_kind, queue AS key_value, CAST(count(*) AS BIGINT) AS n_rows, min(us) AS first_us, max(us) AS last_us,
