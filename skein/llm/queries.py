@@ -82,7 +82,13 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_bodies, p4_
 _ID = r"regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
 _KEY = f"lower(regexp_extract({_ID}, '^([^?/:]*)', 1)) || substr({_ID}, length(regexp_extract({_ID}, '^([^?/:]*)', 1)) + 1)"
 
+_WINDOWS = r"""
+SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 11), ' ') AS passage FROM (
+  SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1}) AS t WHERE len(w) >= 12) AS x
+"""
+
 SQL = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format('doc_id', 'documents')}) AS d JOIN ({_WINDOWS.format('item_id', 'eval_items')}) AS e ON d.passage = e.passage",
     "p4_found": f"""
 SELECT row_id FROM (
   SELECT row_id, k, row_number() OVER (PARTITION BY k ORDER BY row_id) AS rn FROM (SELECT row_id, {_KEY} AS k FROM crawled_urls WHERE url IS NOT NULL) AS c
