@@ -30,6 +30,12 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicate_groups(content_fingerprint(spark, sf_dir).withColumnRenamed("content_id", "id"))
 
 
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locality digests of the bodies, for the similarity of copies that differ a little."""
+    rows = table(spark, sf_dir, "crawled_content").select(F.col("content_id").alias("key"), F.col("contents").alias("body"))
+    return C.nilsimsa(rows).withColumnRenamed("key", "content_id")
+
+
 def document_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha1(F.col("text").cast("binary")).alias("fingerprint"))
     return C.duplicate_groups(rows)
@@ -104,7 +110,7 @@ def redundancy_tree_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        content_fingerprint, exact_duplicates, document_duplicates, original_assignment, content_cache_hit, http_dates, use_cached_decision, request_headers,
+        content_fingerprint, exact_duplicates, content_digests, document_duplicates, original_assignment, content_cache_hit, http_dates, use_cached_decision, request_headers,
         dust_lineage, redundancy_support, redundancy_probe, redundancy_asof, redundancy_tree_count,
     )
 }

@@ -61,6 +61,12 @@ def redirect_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acted
 
 
+def read_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as they were found, read as the lines of a seed file."""
+    lines = table(spark, sf_dir, "crawled_urls").select(F.col("raw_url").alias("value"))
+    return jobs.read_seeds(lines, F.lit(0.0)).select("id", "is_seed")
+
+
 def export_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _crawled(spark, sf_dir).select("url", F.lit(None).cast("string").alias("redirects_to"))
     return jobs.export_seeds(rows.union(table(spark, sf_dir, "redirected_urls").select("url", "redirects_to")), SCOPE)
@@ -138,7 +144,7 @@ def log_rows_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        status_classes, outcome_routing, retry_split, redirect_chain, redirect_actions, export_seeds, purge_out_of_scope, purge_content, requeue_skipped, seed_from_reference,
+        status_classes, outcome_routing, retry_split, redirect_chain, redirect_actions, read_seeds, export_seeds, purge_out_of_scope, purge_content, requeue_skipped, seed_from_reference,
         union_with_reason, topic_diff, pack_unpack_json, read_v1_rows, unpack_messages, dead_letters, old_messages, log_rows_trimmed,
     )
 }
@@ -179,6 +185,9 @@ t AS (
   SELECT row_id, url, http_status, CASE WHEN location IS NULL THEN NULL ELSE lower({_TARGET_SITE}) || lower(regexp_extract(location, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) || regexp_extract(location, '^[^?#]*(.*)$', 1) END AS target FROM r)
 SELECT row_id, target, CASE WHEN NOT ({_REDIRECTS}) OR http_status IS NULL OR target IS NULL THEN 'none' WHEN target = url THEN 'self'
   WHEN regexp_replace(target, '^[a-z]+://', '') = {ID} THEN 'refetch' ELSE 'follow' END AS action, CASE WHEN http_status IS NOT NULL THEN NOT ({_REDIRECTS}) OR http_status = 300 END AS keeps_body FROM t""",
+    "read_seeds": f"""
+SELECT DISTINCT regexp_replace(regexp_replace(canonical, '^[a-z]+://', ''), '^([^/?#]+)(\\?|$)', '\\1/\\2') AS id, true AS is_seed
+FROM ({URL_SQL['url_canonical']}) AS c""",
     "export_seeds": f"SELECT DISTINCT url FROM ({_SCOPED}) AS s WHERE {scope_sql('url', 'id', 'domain')} = 1",
     "purge_out_of_scope": f"SELECT row_id, {scope_sql('url', 'id', 'domain')} <> 1 AND NOT (ends_with(id, 'robots.txt') OR ends_with(id, 'sitemap.xml')) AS purged FROM ({_SCOPED}) AS s",
     "purge_content": f"""

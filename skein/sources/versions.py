@@ -74,9 +74,8 @@ def pack_message(row: Column) -> Column:
 
 def unpack_messages(messages: DataFrame, column: str, schema: str) -> DataFrame:
     """Adds the record as ``record`` and ``corrupt`` where the message is null, no base64 or no JSON object."""
-    text = F.try_to_binary(column, F.lit("base64"))
-    parsed = F.from_json(F.expr("try_cast(bytes as string)"), schema)
-    whole = F.try_parse_json(F.decode("bytes", "utf-8"))
-    rows = messages.withColumn("bytes", text).withColumn("record", parsed)
+    text = F.try_validate_utf8(F.try_to_binary(F.col(column), F.lit("base64")).cast("string"))
+    rows = messages.withColumn("_text", text).withColumn("record", F.from_json("_text", schema))
+    whole = F.try_parse_json("_text")
     ok = whole.isNotNull() & F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
-    return rows.withColumn("corrupt", ~F.coalesce(ok, F.lit(False))).drop("bytes")
+    return rows.withColumn("corrupt", ~F.coalesce(ok, F.lit(False))).drop("_text")

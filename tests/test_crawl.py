@@ -214,3 +214,28 @@ def test_crawl_step_and_its_stream(spark, tmp_path):
     folder = run_crawl(stream, crawled, bodies, scope, windows.run_batches)
     got = [(r.id, r.outcome) for r in spark.read.parquet(f"{folder}/routed").collect()]
     assert sorted(got) == sorted((i, o) for i, (o, _) in want.items())
+
+
+def test_fetch_seam(spark):
+    from skein.sources import fetch
+
+    def echo():
+        """A fetcher, made inside the task."""
+        from skein.sources.fetch import Answer
+
+        class Echo:
+            def fetch(self, url, headers):
+                if "slow" in url:
+                    raise TimeoutError
+                if "bad" in url:
+                    raise ValueError
+                return Answer(200, headers={"etag": headers.get("If-None-Match", "")}, body=url.encode())
+
+        return Echo()
+
+    rows = spark.createDataFrame([("a", "http://a", {"If-None-Match": "1"}, "q"), ("s", "http://slow", None, "q"), ("b", "http://bad", {}, "r")], "id string, url string, request_headers map<string,string>, queue string")
+    got = {r.id: (r.http_status, r.error, r.body and bytes(r.body)) for r in fetch.fetch_rows(rows, echo, "queue").collect()}
+    assert got == {"a": (200, "", b"http://a"), "s": (None, "timeout", None), "b": (None, "request", None)}
+    pages = spark.createDataFrame([("a", 200, {"x": "y"}, b"1")], "key string, http_status int, headers map<string,string>, body binary")
+    got = {r.id: (r.http_status, r.error) for r in fetch.fetch_from_table(rows, pages).collect()}
+    assert got == {"a": (200, ""), "s": (None, "timeout"), "b": (None, "timeout")}
