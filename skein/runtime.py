@@ -70,7 +70,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder among those of this application, which ``clean_up`` deletes."""
+    return f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application staged. Tables and results that read from there are gone after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

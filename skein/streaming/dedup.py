@@ -106,17 +106,22 @@ def repeated_deliveries(
     horizon: str = "6 hours",
     max_bytes_per_trigger: int = 64 << 20,
     pages: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """(delivery_id) of every delivery that is not the one to keep.
 
     Deliveries are copies if queue and msg_id are equal, in any spelling of a UUID. Rows without msg_id are never
     copies and a null queue is a queue of its own. The stream over ``path`` is run to its end; ``horizon`` is how long a key stays in the state
     after the newest event time, ``pages`` the number of state pages (by default one per 64 KB of input, so that a
-    page holds some hundred keys at any size). Extra columns are not read. An empty table gives no rows.
+    page holds some hundred keys at any size). With a ``folder`` the state and the output are kept there, and the next
+    run with it reads only the files that have come since; the pages must then be given and stay the same. Extra
+    columns are not read. An empty table gives no rows.
     """
     ship_package(spark)
+    if folder and not pages:
+        raise ValueError("a kept state needs a fixed number of pages")
     pages = pages or max(256, input_bytes(spark, path) // 65536)
-    root = fresh_dir(spark, "dedup")
+    root = folder or fresh_dir(spark, "dedup")
     events, late = f"{root}/events", f"{root}/late"
     schema = T.StructType([f for f in spark.read.parquet(path).schema if f.name in ("delivery_id", "msg_id", "queue", "received_at")])
     source = read_stream(spark, path, schema, max_bytes_per_trigger)

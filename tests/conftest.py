@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from skein.runtime import local_session, ship_package  # noqa: E402
+from skein.runtime import clean_up, local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark(tmp_path_factory):
     session = local_session(4, **{"spark.driver.memory": "4g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     ship_package(session)
     yield session
+    clean_up(session)
     session.stop()

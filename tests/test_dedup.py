@@ -68,6 +68,18 @@ def test_stream_against_brute_force(spark, tmp_path, horizon):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_a_kept_state_goes_on_with_the_files_that_came(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(d, str(rng.randrange(40)), rng.choice("ab"), START + dt.timedelta(seconds=rng.randrange(100_000)), None, 1) for d in range(300)]
+    path, folder = str(tmp_path / "m.parquet"), str(tmp_path / "state")
+    for upto, part in ((100, rows[:100]), (300, rows[100:])):
+        write(spark, path, part, 2)
+        found = repeated_deliveries(spark, path, horizon="1 hour", max_bytes_per_trigger=1, pages=4, folder=folder)
+        assert {r.delivery_id for r in found.collect()} == brute(rows[:upto])
+    with pytest.raises(ValueError):
+        repeated_deliveries(spark, path, folder=folder)
+
+
 def test_ties_and_empty(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     rows = [(3, "1", "q", START, None, None), (2, "1", "q", START, None, None), (4, "01", "q", START, None, None), (5, None, "q", START, None, None), (6, None, "q", START, None, None)]
