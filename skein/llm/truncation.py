@@ -169,7 +169,7 @@ def _unclosed(name: Column, value: Column) -> Column:
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
     odd = name.isin(*QUOTED) & (quotes % 2 == 1)
     tag = (name == "etag") & ~value.rlike(r'^(W/)?"[^"]*"$') & value.rlike(r'^(W|W/|"|W/".*|".*)$')
-    link = (name == "link") & (value.rlike(r"<[^>]*$") | value.rlike(r"[;,=]\s*$") | value.rlike(r";\s*[a-z]+$"))
+    link = (name == "link") & (value.rlike(r"<[^>]*$") | value.rlike(r"[;,=]\s*$") | value.rlike(r";\s*[a-z]+$") | value.rlike(r">\s*;.*<[^>]*>$"))
     parameter = name.isin("content-type", "content-disposition", "set-cookie") & value.rlike(r"[;=]\s*$")
     date = name.isin(*DATED) & ~value.rlike(DATE) & value.rlike(DATE_START)
     return odd | tag | link | parameter | date

@@ -60,7 +60,7 @@ def test_headers(spark):
     rng = random.Random(3)
     whole = [{"Content-Type": rng.choice(["text/html; charset=utf-8", "text/html", "text/css"]), "etag": f'"{i:05x}-{i * 7:05x}"', "x-robots-tag": rng.choice(["noindex", "noindex, nosnippet"]), "content-length": str(rng.randrange(9, 99999)),
               "set-cookie": f"sid={i:08x}; Path=/; Max-Age={rng.randrange(5000)}; HttpOnly; SameSite=Lax", "expires": "Wed, 20 Apr 2011 05:46:23 GMT", "link": f'<http://h.test/{i}>; rel="next"'} for i in range(150)]
-    cut = [{"content-type": "text/html; cha"}, {"ETag": '"24b67f6-b2a'}, {"etag": 'W/"1'}, {"Expires": "Wed, 20 Apr 20"}, {"last-modified": "Mo"}, {"link": '<http://h.test/a>; rel="ne'}, {"link": "<http://h.test"}, {"set-cookie": "sid=00aa; Path=/; Max"}, {"set-cookie": "sid=00aa; Path=/; Max-Age=12; HttpOnly; SameSite=La"}, {"x-robots-tag": "noind"}, {"a": None, "warning": '110 - "The stor'}]
+    cut = [{"content-type": "text/html; cha"}, {"ETag": '"24b67f6-b2a'}, {"etag": 'W/"1'}, {"Expires": "Wed, 20 Apr 20"}, {"last-modified": "Mo"}, {"link": '<http://h.test/a>; rel="ne'}, {"link": "<http://h.test"}, {"link": '<http://h.test/a>; rel="next", <http://h.test/b>'}, {"set-cookie": "sid=00aa; Path=/; Max"}, {"set-cookie": "sid=00aa; Path=/; Max-Age=12; HttpOnly; SameSite=La"}, {"x-robots-tag": "noind"}, {"a": None, "warning": '110 - "The stor'}]
     fine = [{"expires": "0"}, {"expires": "-1"}, {"content-length": "8"}, {"etag": "", "link": None}, {"other": "anything at al"}, None]
     rows = [("f", None, None, None, h) for h in [*whole, *cut, *fine]]
     assert found(spark, rows) == {(len(whole) + i, "response_headers") for i in range(len(cut))}
