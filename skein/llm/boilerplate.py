@@ -164,17 +164,17 @@ def _parsed(batches: Iterator[pa.RecordBatch]):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, is_text, page, n, head) of each page: its elements, and the texts of the slot with its headline."""
+    """(host, path, text, page, n, head) of each page: its elements by path, the texts of the slot with its headline by hash, and a row with an empty path if it has a headline."""
     import xxhash
 
     rows: list[tuple] = []
     for _, host, key, _, lines, slots, head, elements in _parsed(batches):
         page = xxhash.xxh64_intdigest(f"{host}\0{key}") - (1 << 63)
-        rows += [(host, path, False, page, n, head >= 0 and slots[head] == path) for path, n in elements.items()]
+        rows += [(host, path, None, page, n, head >= 0 and slots[head] == path) for path, n in elements.items()]
         if head >= 0:
             own = inside(slots, head)
-            rows += [(host, str(t), True, page, 1, False) for t in {text_hash(text) for _, slot, text in lines if slot in own}]
-            rows.append((host, "", True, page, 1, True))
+            rows += [(host, None, t, page, 1, False) for t in {text_hash(text) for _, slot, text in lines if slot in own}]
+            rows.append((host, "", None, page, 1, True))
         if len(rows) > 20_000:
             yield _batch(rows)
             rows = []
@@ -183,7 +183,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("host", pa.string()), ("token", pa.string()), ("is_text", pa.bool_()), ("page", pa.int64()), ("n", pa.int64()), ("head", pa.bool_())]
+    kinds = [("host", pa.string()), ("path", pa.string()), ("text", pa.int64()), ("page", pa.int64()), ("n", pa.int64()), ("head", pa.bool_())]
     return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
 
@@ -192,26 +192,26 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
     Two copies of a page (of one key) count once.
     """
-    rows = pages.mapInArrow(_tokens, "host string, token string, is_text boolean, page long, n long, head boolean")
-    once = stage(rows.groupBy("host", "is_text", "token", "page").agg(F.max("n").alias("n"), F.max("head").alias("head")), "tokens")
+    rows = pages.mapInArrow(_tokens, "host string, path string, text long, page long, n long, head boolean")
+    once = stage(rows.groupBy("host", "path", "text", "page").agg(F.max("n").alias("n"), F.max("head").alias("head")), "tokens")
     # equal sums of the hashes of page and count stand for equal vectors
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")
-    elements = once.filter("not is_text").groupBy("host", "token").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("head")).alias("n_head"), vector)
+    elements = once.filter("path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("head")).alias("n_head"), vector)
     classes = elements.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("n_pages").alias("support"))
-    sizes = once.filter("is_text and token = ''").groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    sizes = once.filter("path = ''").groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     valid = classes.join(sizes, "host").filter((F.col("n_tokens") >= 2) & ((F.col("support") >= 2) | (F.col("n_host") < 2))).select("host", "vector")
     slots = elements.filter("n_head > 0").join(valid, ["host", "vector"], "left_semi")
-    main = slots.groupBy("host").agg(F.max(F.struct("n_head", "n_pages", "token")).alias("best")).select("host", F.array("best.token").alias("main_slots"))
+    main = slots.groupBy("host").agg(F.max(F.struct("n_head", "n_pages", "path")).alias("best")).select("host", F.array("best.path").alias("main_slots"))
 
-    texts = once.filter("is_text and token <> ''").groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
+    texts = once.filter("text is not null").groupBy("host", "text").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
     large = F.col("n_host") >= LEAST_PAGES
-    known = texts.groupBy("token").agg(
+    known = texts.groupBy("text").agg(
         F.count(F.lit(1)).alias("n_hosts"), F.sum("n").alias("total"),
         F.sum(F.when(large, F.col("n"))).alias("with"), F.sum(F.when(large, F.col("n_host"))).alias("of"),
     ).filter("total >= 2")
     shared = (F.col("n_hosts") >= LEAST_PAGES) & (F.col("with") >= COMMON * F.col("of"))
     own = (F.col("n_hosts") < LEAST_PAGES) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= COMMON * F.col("n_host"))
-    chosen = texts.join(known, "token").filter(shared | own).groupBy("host").agg(F.collect_list(F.col("token").cast("long")).alias("texts"))
+    chosen = texts.join(known, "text").filter(shared | own).groupBy("host").agg(F.collect_list("text").alias("texts"))
     return main.join(chosen, "host", "full")
 
 
