@@ -21,6 +21,7 @@ from skein.functions.urls import canonical_url
 from skein.runtime import stage
 
 ADDRESSES = ("url", "raw_url", "referrer_id")
+KEYS = {"url": "id", "raw_url": "raw_id", "referrer_id": "referrer_id"}  # the id that stands for each field
 LEAST_AT_LIMIT = 3
 LEAST_LIMIT = 64  # no field is cut shorter than this by a limit
 RARE = 20  # a value is rare beside another that is at least this many times as frequent
@@ -119,44 +120,49 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     ``rows`` is (row_id, fetcher, url, raw_url, referrer_id); ``elsewhere`` has more addresses in a column value,
     among which longer copies are looked for. Null and empty values are whole.
     """
+    raw_id = address_id(canonical_url(F.col("raw_url"), drop_fragment=True))
     sides = rows.select(
-        "row_id", F.coalesce("fetcher", F.lit("")).alias("fetcher"), "referrer_id", address_id(F.col("url")).alias("id"),
-        address_id(canonical_url(F.col("raw_url"), drop_fragment=True)).alias("raw_id"),
+        "row_id", F.coalesce("fetcher", F.lit("")).alias("fetcher"), "referrer_id", address_id(F.col("url")).alias("id"), raw_id.alias("raw_id"),
         *[F.length(f).alias(f"{f}_chars") for f in ADDRESSES], *[F.xxhash64(f).alias(f"{f}_hash") for f in ADDRESSES],
     )
-    same = F.coalesce(F.col("id") == F.col("raw_id"), F.lit(False))
+    no = F.lit(False)
+    tail = F.when(F.col("referrer_id").contains("/"), F.regexp_extract("referrer_id", LAST_WORD, 1))
+    told = sides.withColumns(
+        {
+            "same": F.coalesce(F.col("id") == F.col("raw_id"), no),
+            "url_less": F.coalesce((F.col("id") != F.col("raw_id")) & F.col("raw_id").startswith(F.col("id")), no),
+            "raw_less": F.coalesce((F.col("id") != F.col("raw_id")) & F.col("id").startswith(F.col("raw_id")), no),
+            "last_word": tail,
+            "broken": F.coalesce(F.col("referrer_id").rlike("%[0-9A-Fa-f]?$"), no),
+            **{f"{f}_key": F.xxhash64(c) for f, c in KEYS.items()},
+            **{f"{f}_key_chars": F.length(c) for f, c in KEYS.items()},
+        }
+    )
     # the canonical raw address is kept only where it differs from the url
-    own = stage(sides.withColumn("same", same).withColumn("raw_id", F.when(~F.col("same"), F.col("raw_id"))), "addresses")
+    own = stage(told.withColumn("raw_id", F.when(~F.col("same"), F.col("raw_id"))), "addresses")
     ids = own.select(F.explode(F.array("id", "raw_id", "referrer_id")).alias("value"))
     ids = ids.union(elsewhere.select(address_id(F.col("value")))) if elsewhere is not None else ids
-    shorter = stage(strict_prefixes(ids).filter(_words_end(F.col("value"), F.col("longer"))).select("value").distinct(), "shorter")
-
+    cut = strict_prefixes(ids).filter(_words_end(F.col("value"), F.col("longer")))
+    shorter = stage(cut.select(F.xxhash64("value").alias("key"), F.length("value").alias("key_chars")).distinct(), "shorter")
     partial = cut_words(ids).withColumn("last_cut", F.lit(True))
 
     of = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"{f}_chars").alias("n_chars"), F.col(f"{f}_hash").alias("h"))
     limits = field_limits(own.select("fetcher", F.explode(F.array(*map(of, ADDRESSES))).alias("x")).select("fetcher", "x.*"))
     wide = limits.groupBy("fetcher").pivot("field", list(ADDRESSES)).agg(F.max("at"))
-    held = own.join(wide.withColumnsRenamed({f: f"{f}_at" for f in ADDRESSES}), "fetcher", "left")
-    marked = held.withColumn("raw_key", F.when(F.col("same"), F.col("id")).otherwise(F.col("raw_id")))
-    for field, key in (("url", "id"), ("raw_url", "raw_key"), ("referrer_id", "referrer_id")):
-        marked = marked.join(shorter.select(F.col("value").alias(key), F.lit(True).alias(f"{field}_short")), key, "left")
-    tail = F.when(F.col("referrer_id").contains("/"), F.regexp_extract("referrer_id", LAST_WORD, 1))
-    marked = marked.withColumn("last_word", tail).join(partial, "last_word", "left")
-    broken = F.coalesce("last_cut", F.lit(False)) | F.coalesce(F.col("referrer_id").rlike("%[0-9A-Fa-f]?$"), F.lit(False))
-    at = {f: F.coalesce(F.col(f"{f}_chars") == F.col(f"{f}_at"), F.lit(False)) for f in ADDRESSES}
-    short = {f: F.coalesce(f"{f}_short", F.lit(False)) for f in ADDRESSES}
-    same = F.col("same")
-    url_less = F.coalesce(~same & F.col("raw_id").startswith(F.col("id")), F.lit(False))
-    raw_less = F.coalesce(~same & F.col("id").startswith(F.col("raw_id")), F.lit(False))
+    # from here on rows carry no address: 64-bit hashes and lengths stand for the values
+    marked = own.drop("id", "raw_id", "referrer_id", *[f"{f}_hash" for f in ADDRESSES])
+    marked = marked.join(wide.withColumnsRenamed({f: f"{f}_at" for f in ADDRESSES}), "fetcher", "left").join(partial, "last_word", "left")
+    for f in ADDRESSES:
+        hit = shorter.select(F.col("key").alias(f"{f}_key"), F.col("key_chars").alias(f"{f}_key_chars"), F.lit(True).alias(f"{f}_short"))
+        marked = marked.join(hit, [f"{f}_key", f"{f}_key_chars"], "left")
+    at = {f: F.coalesce(F.col(f"{f}_chars") == F.col(f"{f}_at"), no) for f in ADDRESSES}
+    short = {f: F.coalesce(f"{f}_short", no) for f in ADDRESSES}
+    same, url_less, raw_less = F.col("same"), F.col("url_less"), F.col("raw_less")
     # a whole raw address that gives this url shows that the url is whole, and the other way round
     url_cut = url_less | (at["url"] & ~(same & ~at["raw_url"])) | (short["url"] & ~raw_less)
     raw_cut = raw_less | (at["raw_url"] & ~(same & ~at["url"])) | (short["raw_url"] & ~url_less)
-    found = F.array_compact(
-        F.array(
-            F.when(url_cut, "url"), F.when(raw_cut, "raw_url"),
-            F.when((at["referrer_id"] | short["referrer_id"] | broken) & (F.col("referrer_id") != ""), "referrer_id"),
-        )
-    )
+    referrer_cut = (at["referrer_id"] | short["referrer_id"] | F.col("broken") | F.coalesce("last_cut", no)) & (F.col("referrer_id_chars") > 0)
+    found = F.array_compact(F.array(F.when(url_cut, "url"), F.when(raw_cut, "raw_url"), F.when(referrer_cut, "referrer_id")))
     return marked.select("row_id", F.explode(found).alias("field_name"))
 
 
@@ -175,16 +181,24 @@ def _unclosed(name: Column, value: Column) -> Column:
     return odd | tag | link | parameter | date
 
 
+LOOKS = ("value", "shape", "last")
+
+
 def cut_headers(rows: DataFrame) -> DataFrame:
-    """(row_id, name, value) of the header values that end too early. Names count in any letter case; null and empty values are whole."""
+    """(row_id, name, n_chars) of the header values that end too early. Names count in any letter case; null and empty values are whole."""
+    texts = {"value": F.col("value"), "shape": _shape(F.col("value")), "last": F.regexp_extract("value", r"([\p{L}\p{N}]+)$", 1)}
     headers = stage(
         rows.select("row_id", F.coalesce("fetcher", F.lit("")).alias("fetcher"), F.explode("response_headers").alias("header", "value"))
         .filter("value is not null and value <> ''")
-        .select("row_id", "fetcher", F.lower("header").alias("name"), "value", _shape(F.col("value")).alias("shape"), F.regexp_extract("value", r"([\p{L}\p{N}]+)$", 1).alias("last")),
+        .withColumn("name", F.lower("header"))
+        .select(
+            "row_id", "fetcher", "name", *[c.alias(look) for look, c in texts.items()], F.length("value").alias("n_chars"), F.xxhash64("value").alias("h"),
+            _unclosed(F.col("name"), F.col("value")).alias("unclosed"), F.col("value").rlike(r"^-?\d+$").alias("number"),
+        ),
         "headers",
-    )
-    looks = [F.struct(F.lit("value").alias("look"), F.col("value").alias("text")), F.struct(F.lit("shape").alias("look"), F.col("shape").alias("text")), F.struct(F.lit("last").alias("look"), F.col("last").alias("text"))]
-    seen = headers.select("name", F.explode(F.array(*looks)).alias("x")).select("name", "x.look", "x.text").filter("text <> ''")
+    )
+    look = F.explode(F.array(*[F.struct(F.lit(x).alias("look"), F.col(x).alias("text")) for x in LOOKS])).alias("x")
+    seen = headers.select("name", look).select("name", "x.look", "x.text").filter("text <> ''")
     counts = stage(seen.groupBy("name", "look", "text").agg(F.count(F.lit(1)).alias("n")), "looks")
     # the prefixes of common looks; a number is no prefix of a longer number
     common = counts.filter((F.col("n") >= RARE) & ~F.col("text").rlike(r"^\d+$"))
@@ -194,18 +208,17 @@ def cut_headers(rows: DataFrame) -> DataFrame:
         .select("name", "look", F.substr("text", F.lit(1), F.col("k")).alias("text"), F.col("n").alias("common"))
         .groupBy("name", "look", "text").agg(F.max("common").alias("common"))
     )
-    rare = counts.join(stems, ["name", "look", "text"]).filter(F.col("common") >= RARE * F.col("n")).select("name", "look", "text")
-    marked = headers
-    for look in ("value", "shape", "last"):
-        hit = rare.filter(F.col("look") == look).select("name", F.col("text").alias(look), F.lit(True).alias(f"{look}_rare"))
-        marked = marked.join(hit, ["name", look], "left")
-    rarity = F.coalesce("value_rare", F.lit(False)) | F.coalesce("shape_rare", F.lit(False)) | F.coalesce("last_rare", F.lit(False))
-    rarity = rarity & ~F.col("value").rlike(r"^-?\d+$")  # a number is no part of anything
-    judged = stage(marked.select("row_id", "fetcher", "name", "value", F.length("value").alias("n_chars"), (rarity | _unclosed(F.col("name"), F.col("value"))).alias("cut")), "judged")
-    limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", F.xxhash64("value").alias("h"))).withColumnsRenamed({"field": "name", "at": "n_chars"})
+    rare = counts.join(stems, ["name", "look", "text"]).filter(F.col("common") >= RARE * F.col("n")).select("look", F.xxhash64("name", "text").alias("key"))
+    rare = stage(rare.distinct(), "rare")
+    keyed = headers.select("row_id", "fetcher", "name", "n_chars", "h", "unclosed", "number", *[F.xxhash64("name", x).alias(f"{x}_key") for x in LOOKS])
+    for x in LOOKS:
+        keyed = keyed.join(rare.filter(F.col("look") == x).select(F.col("key").alias(f"{x}_key"), F.lit(True).alias(f"{x}_rare")), f"{x}_key", "left")
+    is_rare = F.coalesce(*[F.col(f"{x}_rare") for x in LOOKS], F.lit(False)) & ~F.col("number")  # a number is no part of anything
+    judged = stage(keyed.select("row_id", "fetcher", "name", "n_chars", "h", (is_rare | F.col("unclosed")).alias("cut")), "judged")
+    limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", "h")).withColumnsRenamed({"field": "name", "at": "n_chars"})
     # a limit of a header counts if most of the values that have its length are visibly cut
     proven = judged.join(limits, ["fetcher", "name", "n_chars"]).groupBy("fetcher", "name", "n_chars").agg(F.avg(F.col("cut").cast("int")).alias("share")).filter("share >= 0.5")
-    return judged.join(proven, ["fetcher", "name", "n_chars"], "left").filter("cut or share is not null").select("row_id", "name", "value")
+    return judged.join(proven, ["fetcher", "name", "n_chars"], "left").filter("cut or share is not null").select("row_id", "name", "n_chars")
 
 
 def cut_fields(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
