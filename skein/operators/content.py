@@ -136,11 +136,12 @@ def similar_runs(nodes: DataFrame, size: float = 0.1) -> DataFrame:
 
 def http_date(value: Column) -> Column:
     """Timestamp of an HTTP date, null if it is none."""
-    return F.try_to_timestamp(F.regexp_extract(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    found = F.regexp_extract(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    return F.try_to_timestamp(F.concat(found, F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
 
 
 def format_http_date(at: Column) -> Column:
-    return F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 
 
 def header(headers: Column, name: str) -> Column:

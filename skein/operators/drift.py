@@ -55,7 +55,8 @@ def canonical_value(kind: Column, text: Column) -> Column:
     number = F.expr("try_cast(trim(text) as double)")
     scaled = F.when(F.abs(number) >= 1e11, number).when(F.abs(number) >= 1e8, number * 1000).otherwise(number)
     as_number = F.when(F.abs(number) >= 1e8, F.round(scaled).cast("long").cast("string")).otherwise(scaled.cast("string"))
-    as_time = F.unix_millis(F.expr("try_cast(trim(text) as timestamp)")).cast("string")
+    zoned = "case when trim(text) rlike '(Z|[+-][0-9]{2}:?[0-9]{2})$' then trim(text) else concat(trim(text), 'Z') end"
+    as_time = F.unix_millis(F.expr(f"try_cast({zoned} as timestamp)")).cast("string")  # UTC, whatever the session's zone
     inner = F.try_parse_json(trimmed)
     is_json = kind.startswith("OBJECT") | kind.startswith("ARRAY") | ((kind == "STRING") & trimmed.rlike(r"^[\[{]"))
     address = F.try_variant_get(inner, "$.id", "string")

@@ -65,7 +65,7 @@ def http_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def use_cached_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit(NOW).cast("timestamp")
+    now = F.timestamp_seconds(F.lit(NOW_EPOCH))
     return _dated(spark, sf_dir).select("row_id", C.use_cached(F.col("fetched"), F.col("expires"), F.col("modified"), now).alias("use_cached"))
 
 
