@@ -70,6 +70,16 @@ def hierarchy(links: DataFrame) -> DataFrame:
     return _finish(links, tree).join(ring.select("node", F.lit(True).alias("on_cycle")), "node", "left").fillna(False, ["on_cycle"])
 
 
+def depths(links: DataFrame) -> DataFrame:
+    """(node, depth) of every node whose chain of parents ends in a root, at any depth; nodes that hang on a cycle have no row.
+
+    ``links`` is as in ``hierarchy``; roots have no row.
+    """
+    links = links.filter("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+    state, _ = _climb(links)
+    return state.filter("not open").select("node", F.col("dist").alias("depth"))
+
+
 def _rings(links: DataFrame, state: DataFrame) -> DataFrame:
     """(node, head) of each node on a cycle, head being its smallest node."""
     cyclic = state.filter("open").select("node", "anc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id, message_key
 from skein.operators import redundancy as R
-from skein.operators.hierarchy import address_links
+from skein.operators.hierarchy import address_links, depths
 from skein.plans.content import SQL as CONTENT_SQL
 from skein.plans.urls import ID
 from skein.runtime import table
@@ -68,17 +68,36 @@ def stream_redundancy_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("node", F.replace("node", F.lit("\u0001"), F.lit("|")))
 
 
-def stream_crawl_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reached from those without a parent, generation by generation (by name of the page's earliest row)."""
+def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links (node, parent) of the pages, one of each page that has a parent, and the seeds (node), which have none."""
     sent = table(spark, sf_dir, "redirected_urls")
     columns = ["row_id", "url", "referrer_id"]
     nodes, links = address_links(table(spark, sf_dir, "crawled_urls").select(columns).union(sent.select(columns)), sent.select("row_id", "url", "redirects_to"))
+    return links, nodes.join(links.select("node"), "node", "left_anti").select("node")
+
+
+def stream_crawl_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages reached from those without a parent, generation by generation (by name of the page's earliest row).
+
+    As in its SQL, only the seeds and the first six generations; ``stream_crawl_generations_all`` has every generation.
+    """
+    links, seeds = _crawl(spark, sf_dir)
     edges = links.select(F.col("parent").alias("referrer_id"), F.col("node").alias("id"))
-    seeds = nodes.join(links.select("node"), "node", "left_anti").select(F.col("node").alias("id"))
-    reached = S.crawl_generations(spark, edges, seeds, 6)
+    reached = S.crawl_generations(spark, edges, seeds.select(F.col("node").alias("id")), _GENERATIONS)
     return reached.groupBy("generation").agg(F.count(F.lit(1)).alias("n")).withColumn("generation", F.col("generation").cast("long"))
 
 
+def stream_crawl_generations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages reached from those without a parent by generation, down to the last one.
+
+    A page has one parent, so its generation is its depth, which doubling finds in a number of rounds that grows with
+    the logarithm of the deepest one. Pages on or below a cycle of links are reached from no seed.
+    """
+    links, seeds = _crawl(spark, sf_dir)
+    reached = depths(links).select(F.col("depth").alias("generation")).union(seeds.select(F.lit(0).cast("long")))
+    return reached.groupBy("generation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stream_message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct messages of each queue, counted from a stream of deliveries."""
     rows = S.open_stream(spark, f"{sf_dir}/frontier_messages.parquet", ["msg_id", "queue"]).filter("msg_id is not null")
@@ -90,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_rate_tumbling, stream_rate_sliding, stream_consumer_sessions, stream_seen_dedup, stream_late_side_output, stream_redundancy_state, stream_crawl_generations,
-        stream_message_keys,
+        stream_crawl_generations_all, stream_message_keys,
     )
 }
 
@@ -122,5 +141,12 @@ node AS (SELECT id, min(row_id) AS node, arg_min(referrer_id, row_id) FILTER (WH
 sent AS (SELECT regexp_replace(redirects_to, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id, arg_min({ID}, row_id) AS source FROM redirected_urls WHERE redirects_to IS NOT NULL GROUP BY 1),
 parent AS (SELECT n.node, p.node AS parent FROM node n LEFT JOIN sent s ON n.id = s.id LEFT JOIN node p ON p.id = coalesce(s.source, n.ref)),
 walk AS (SELECT node, 0 AS generation FROM parent WHERE parent IS NULL UNION ALL SELECT p.node, w.generation + 1 FROM walk w JOIN parent p ON p.parent = w.node WHERE w.generation < {_GENERATIONS})
+SELECT CAST(generation AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY generation""",
+    "stream_crawl_generations_all": rf"""
+WITH RECURSIVE rows_ AS (SELECT row_id, {ID} AS id, referrer_id FROM crawled_urls UNION ALL SELECT row_id, {ID} AS id, referrer_id FROM redirected_urls),
+node AS (SELECT id, min(row_id) AS node, arg_min(referrer_id, row_id) FILTER (WHERE referrer_id IS NOT NULL) AS ref FROM rows_ GROUP BY id),
+sent AS (SELECT regexp_replace(redirects_to, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id, arg_min({ID}, row_id) AS source FROM redirected_urls WHERE redirects_to IS NOT NULL GROUP BY 1),
+parent AS (SELECT n.node, p.node AS parent FROM node n LEFT JOIN sent s ON n.id = s.id LEFT JOIN node p ON p.id = coalesce(s.source, n.ref)),
+walk AS (SELECT node, 0 AS generation FROM parent WHERE parent IS NULL UNION ALL SELECT p.node, w.generation + 1 FROM walk w JOIN parent p ON p.parent = w.node)
 SELECT CAST(generation AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY generation""",
 }

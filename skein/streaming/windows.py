@@ -12,6 +12,7 @@ from skein.runtime import fresh_dir, ship_package
 from skein.streaming.dedup import read_stream
 
 BYTES_PER_TRIGGER = 64 << 20
+COMPACT = 16  # rounds of a crawl after which its generations are put into one table
 
 
 def open_stream(spark: SparkSession, path: str, columns: list[str], at: str | None = None) -> DataFrame:
@@ -69,21 +70,25 @@ def split_late(stream: DataFrame, at: str, arrived: str, allowed: str) -> tuple[
     return ~F.coalesce(late, F.lit(False)), F.coalesce(late, F.lit(False))
 
 
-def crawl_generations(spark: SparkSession, links: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def crawl_generations(spark: SparkSession, links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(id, generation): what a crawl from the seeds reaches over (referrer_id, id), generation by generation.
 
-    Each round is one batch: the links of the newest pages, less what is seen. It ends when the frontier is empty or
-    after ``most`` rounds. Every generation is checkpointed, so a lost executor costs one round at most.
+    Each round is one batch: the links of the newest pages, less what is seen. It ends when the frontier is empty, or
+    after ``most`` rounds where a caller wants the first generations only. Every generation is checkpointed, so a lost
+    executor costs one round at most; what is found is put together every COMPACT rounds, so that plans stay short.
     """
     edges = links.select("referrer_id", "id").distinct().checkpoint()
     found = seeds.select("id").distinct().withColumn("generation", F.lit(0)).checkpoint()
-    newest = found
-    for generation in range(1, most + 1):
+    newest, generation = found, 0
+    while most is None or generation < most:
+        generation += 1
         next_ids = edges.join(newest.select(F.col("id").alias("referrer_id")), "referrer_id").select("id").distinct()
         newest = next_ids.join(found.select("id"), "id", "left_anti").withColumn("generation", F.lit(generation)).checkpoint()
         if newest.isEmpty():
             break
         found = found.union(newest)
+        if generation % COMPACT == 0:
+            found = found.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
     return found
 
 
