@@ -3,7 +3,8 @@
 Addresses: all ids of all fields are sorted as one set; a value is a strict prefix of another exactly if it is one
 of its successor. The raw address and the canonical one of a row are compared in canonical form; the one that is a
 prefix of the other was cut. A field limit of a fetcher shows as a length that no value exceeds and many have.
-Header values mostly have no longer copy. There the common values of a header, their shapes (words made one letter)
+Header values are sorted by name the same way, and one that is a prefix of the next was cut if it ends where no value
+of its own would. Most have no longer copy. There the common values of a header, their shapes (words made one letter)
 and their last words give their prefixes, by which the rare ones are joined; quotes, brackets and dates that are
 opened but not closed say it as well.
 """
@@ -181,6 +182,28 @@ def _unclosed(name: Column, value: Column) -> Column:
     return odd | tag | link | parameter | date
 
 
+def _token_ends(name: Column, value: Column, longer: Column) -> Column:
+    """Whether a header value ends within a word, an id or a parameter of the longer one, not where it could end by itself.
+
+    A number goes on in a longer number, a word before a digit (a product and its version) and a list in a longer list: those are whole.
+    """
+    after = F.substr(longer, F.length(value) + 1, F.lit(1))
+    word = value.rlike(r"\p{L}$") & after.rlike(r"\p{L}")
+    mixed = value.rlike(r"(?=[\p{L}\p{N}]{4,}$)(\p{L}+\p{N}|\p{N}+\p{L})[\p{L}\p{N}]*$") & after.rlike(r"[\p{L}\p{N}]")
+    sign = value.rlike(r"[-_=%]$") & after.rlike(r"[\p{L}\p{N}]")
+    parameter = (name != "cache-control") & value.rlike(r"\p{L}$") & (after == "=")
+    return word | mixed | sign | parameter
+
+
+def cut_values(headers: DataFrame) -> DataFrame:
+    """(name, value) of the header values (name, value) that a longer value of the same name shows as cut, whatever the frequency of either."""
+    found = strict_prefixes(headers.select(F.concat_ws(_END, "name", "value").alias("value")))
+    name, at = F.split("value", _END, 2)[0], F.split("value", _END, 2)[1]
+    pairs = found.select(name.alias("name"), at.alias("value"), F.split("longer", _END, 2)[1].alias("longer"))
+    return pairs.filter(_token_ends(F.col("name"), F.col("value"), F.col("longer"))).select("name", "value")
+
+
+_END = "\u0001"  # stands between the name and the value of a header
 LOOKS = ("value", "shape", "last")
 
 
@@ -209,15 +232,19 @@ def cut_headers(rows: DataFrame) -> DataFrame:
         .groupBy("name", "look", "text").agg(F.max("common").alias("common"))
     )
     rare = counts.join(stems, ["name", "look", "text"]).filter(F.col("common") >= RARE * F.col("n")).select("look", F.xxhash64("name", "text").alias("key"))
-    rare = stage(rare.distinct(), "rare")
+    shorter = cut_values(headers.select("name", "value")).select(F.lit("value").alias("look"), F.xxhash64("name", "value").alias("key"))
+    rare = stage(rare.union(shorter).distinct(), "rare")
     keyed = headers.select("row_id", "fetcher", "name", "n_chars", "h", "unclosed", "number", *[F.xxhash64("name", x).alias(f"{x}_key") for x in LOOKS])
     for x in LOOKS:
         keyed = keyed.join(rare.filter(F.col("look") == x).select(F.col("key").alias(f"{x}_key"), F.lit(True).alias(f"{x}_rare")), f"{x}_key", "left")
     is_rare = F.coalesce(*[F.col(f"{x}_rare") for x in LOOKS], F.lit(False)) & ~F.col("number")  # a number is no part of anything
     judged = stage(keyed.select("row_id", "fetcher", "name", "n_chars", "h", (is_rare | F.col("unclosed")).alias("cut")), "judged")
     limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", "h")).withColumnsRenamed({"field": "name", "at": "n_chars"})
-    # a limit of a header counts if most of the values that have its length are visibly cut
-    proven = judged.join(limits, ["fetcher", "name", "n_chars"]).groupBy("fetcher", "name", "n_chars").agg(F.avg(F.col("cut").cast("int")).alias("share")).filter("share >= 0.5")
+    # a limit of a header counts if most of the values that have its length are visibly cut; the greatest length that RARE rows
+    # have is a limit then, however short it is and however few different values have it
+    counted = judged.groupBy("fetcher", "name", "n_chars").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("cut").cast("int")).alias("share"))
+    top = counted.groupBy("fetcher", "name").agg(F.max(F.struct("n_chars", "n")).alias("top")).filter(F.col("top.n") >= RARE).select("fetcher", "name", "top.n_chars")
+    proven = counted.filter("share >= 0.5").join(limits.union(top).distinct(), ["fetcher", "name", "n_chars"], "left_semi").drop("n")
     return judged.join(proven, ["fetcher", "name", "n_chars"], "left").filter("cut or share is not null").select("row_id", "name", "n_chars")
 
 
