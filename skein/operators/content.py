@@ -16,6 +16,7 @@ from skein.runtime import stage
 STAGNATION = 10  # a page that has not changed for ten times as long as it is old in the cache is taken from the cache
 # Response headers that are kept with a stored body.
 STORED_HEADERS = ("content-type", "content-disposition", "content-language", "expires")
+NEAR, NEAR_SIZE, HISTORY = 0.9, 0.1, 5  # equal bits and difference in size of near copies; a longer run of them is dust
 CODECS = ("none", "gzip", "deflate")
 
 
@@ -134,6 +135,24 @@ def similar_runs(nodes: DataFrame, size: float = 0.1) -> DataFrame:
         state = stage(state.join(upper, "anc", "left").select("id", F.col("anc2").alias("anc"), (F.col("count") + F.coalesce("more", F.lit(0))).alias("count")), "runs")
 
 
+def near_copies(pages: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(id, count, dust, has_digest): how many ancestors in a row each page is a near copy of, and whether that is more than HISTORY.
+
+    ``pages`` is (id, parent, key), ``bodies`` (key, body) with one stripped body of each key. Bodies are near if NEAR of the
+    bits of their digests are equal and their sizes differ by less than NEAR_SIZE. A page without a body, or with an empty
+    one, has no digest (has_digest is false): its count is 0, and the count of the pages below it begins again.
+    """
+    held = nilsimsa(bodies.filter(F.length("body") > 0)).withColumnRenamed("key", "digest_key")
+    sizes = bodies.select("key", F.length("body").alias("size"))
+    digests = stage(sizes.join(held, F.col("key") == F.col("digest_key")).drop("digest_key"), "digests")
+    known = stage(pages.select("id", "parent", "key").join(digests, "key", "left").drop("key"), "pages")
+    parents = known.select(F.col("id").alias("parent"), F.col("digest").alias("parent_digest"))
+    similar = hex_similarity(F.col("digest"), F.col("parent_digest")) >= NEAR
+    nodes = known.join(parents, "parent", "left").select("id", "parent", "size", similar.alias("similar"))
+    runs = similar_runs(nodes, NEAR_SIZE)
+    return runs.join(known.select("id", F.col("digest").isNotNull().alias("has_digest")), "id").select("id", "count", (F.col("count") > HISTORY).alias("dust"), "has_digest")
+
+
 def http_date(value: Column) -> Column:
     """Timestamp of an HTTP date, null if it is none."""
     found = F.regexp_extract(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
+from skein.functions.urls import storage_key
 from skein.operators import content as C
 from skein.operators import redundancy as R
 from skein.plans.urls import ID
@@ -76,7 +77,10 @@ def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dust_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page how many ancestors in a row are near it in size and of its type; the parent is the page it was found on, fetched before it."""
+    """For each page how many ancestors in a row are near it in size and of its type; the parent is the page it was found on, fetched before it.
+
+    As in its SQL this compares headers only, sizes up to a half apart; ``dust_near_copies`` compares the bodies.
+    """
     get = lambda n: C.header(F.col("response_headers"), n)
     rows = table(spark, sf_dir, "crawled_urls").select("row_id", address_id(F.col("url")).alias("address"), "referrer_id", get("content-length").try_cast("int").alias("size"), get("content-type").alias("kind"))
     first = stage(rows.groupBy("address").agg(F.min(F.struct("row_id", "referrer_id", "size", "kind")).alias("f")).select("address", "f.*"), "pages")
@@ -86,6 +90,27 @@ def dust_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.similar_runs(nodes, 0.5).select(F.col("id").alias("row_id"), "count")
 
 
+def dust_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each page how many ancestors in a row its body is a near copy of, and whether it is dust by that.
+
+    The parent is the page it was found on, if on the same host and fetched before it. Bodies are those stored under the
+    page's key (of several the last), HTML without mark-up; other types, and pages without a stored body, have no digest.
+    """
+    rows = table(spark, sf_dir, "crawled_urls").select("row_id", address_id(F.col("url")).alias("address"), "referrer_id")
+    host = lambda c: F.lower(F.regexp_extract(c, "^([^?/:]*)", 1))
+    first = stage(rows.filter("address is not null").groupBy("address").agg(F.min(F.struct("row_id", "referrer_id")).alias("f")).select("address", "f.*"), "pages")
+    parents = first.select(F.col("address").alias("referrer_id"), F.col("row_id").alias("parent"))
+    own = (F.col("parent") < F.col("row_id")) & (host("address") == host("referrer_id"))
+    pages = first.join(parents, "referrer_id", "left").select(F.col("row_id").alias("id"), F.when(own, F.col("parent")).alias("parent"), storage_key(F.col("address")).alias("key"))
+    stored = table(spark, sf_dir, "crawled_content").filter("s3_key is not null").groupBy(F.col("s3_key").alias("key")).agg(
+        F.max_by(F.struct(F.element_at("meta", "content-type").alias("kind"), "contents"), "content_id").alias("last")
+    )
+    text = C.strip_markup(F.lit("text/html"), F.decode("last.contents", "iso-8859-1"))
+    html = C.content_type(F.col("last.kind")) == "text/html"
+    bodies = stored.filter(html).select("key", F.encode(text, "iso-8859-1").alias("body"))
+    return C.near_copies(pages, bodies).withColumnRenamed("id", "row_id")
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "crawled_urls").filter("original is not null")
     return rows.select(F.col("row_id").alias("seq"), address_id(F.col("url")).alias("id"), (F.col("original") != "self").alias("redundant"))
@@ -111,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_fingerprint, exact_duplicates, content_digests, document_duplicates, original_assignment, content_cache_hit, http_dates, use_cached_decision, request_headers,
-        dust_lineage, redundancy_support, redundancy_probe, redundancy_asof, redundancy_tree_count,
+        dust_lineage, dust_near_copies, redundancy_support, redundancy_probe, redundancy_asof, redundancy_tree_count,
     )
 }
 
