@@ -1,17 +1,21 @@
 """The main body of each page, without the menus, notices, teasers and footers of its site.
 
-A template is deduced for each host. The tokens of a page are its elements, named by their path of containers, and
-the texts of its lines. The occurrence vector of a token over the pages of its host is kept as a sum of page hashes
-times counts, which can be merged from partial sums; tokens with one sum have one vector and form a class. A class
-is valid if it has at least two tokens and holds for at least two pages (or the host has one page only); valid classes
-nest, since a path begins with the path of the container around it. Of the containers of valid classes the one that
-holds the headline most often is the slot of the main body. Inside it, texts that recur on most pages of the host,
-or on most pages of the hosts that have them at all, belong to the template as well (share lines, sign-ups).
-What is left of the slot is the body.
+A template is deduced for each site (the pages of one host, those with mark-up and those without apart). The tokens of
+a page are its elements, named by their path of containers; a page without mark-up has sections as containers, named by
+the form of their first line. The occurrence vector of a token over the pages of its site is kept as the exclusive or of
+page hashes times counts, which can be merged from partial ones; tokens of one vector form a class. A class is valid if
+it has at least two tokens and holds for at least two pages (or the site has fewer than LEAST_PAGES pages). The containers
+of valid classes nest by their paths and make the template; its slots are what lies in a container and in no deeper one.
+
+A slot's filling is the text that does not recur over the pages of its container. Slots with filling on most pages, more of it outside of links than inside, are
+joined to the topmost such container around them, and the one that holds most filling, links left out, is the slot of
+the main body. Inside it, texts that recur on most pages of the site, or on most pages of the sites that have them at
+all, belong to the template as well (share lines, sign-ups). What is left of the slot is the body.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -24,16 +28,23 @@ from pyspark.sql import functions as F
 from skein.functions.ids import host_of
 from skein.runtime import stage
 
-# Elements that hold blocks, and those whose content is no text.
+# Elements that hold blocks, those that are links, and those whose content is no text.
 CONTAINERS = frozenset("div section main article aside nav header footer table tbody thead tr td th ul ol dl form center body".split())
-SILENT = re.compile(r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>")
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
-TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
+LINKS = frozenset(("a", "button"))
+SILENT = re.compile(r"(?i)<!--|<(script|style|head|noscript|template)\b")
+CLOSING = {name: re.compile(rf"(?i)</{name}\s*>" if name else "-->") for name in ("", "script", "style", "head", "noscript", "template")}
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
+ATTRIBUTE = re.compile(r"([\w:-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+NAMING = frozenset("class id role itemprop width valign colspan bgcolor".split())  # attributes whose values tell containers apart
 MARKUP = re.compile(r"(?i)<(?:!doctype|html|body|head|div|p|table)\b")
+DEPTH = 512  # containers nested deeper count as part of the last one, as in browsers
 GAP = 2  # blank lines that part the sections of a plain text
 COMMON = 0.5  # share of pages from which a text belongs to the template
 LEAST_PAGES = 3
+SALT = 32
 
+TOKEN, ABOVE, LINE = 0, 1, 2
+PARSED = "kind int, content_id long, site long, page long, slot long, token long, n long, links long, line_no int, above array<long>, text string"
 
 
 def decoded(contents: bytes | None, meta: dict | None) -> str:
@@ -50,218 +61,284 @@ def decoded(contents: bytes | None, meta: dict | None) -> str:
 
 def is_markup(text: str, meta: dict | None) -> bool:
     kind = next((v for k, v in (meta or {}).items() if k and k.lower() == "content-type" and v), "").lower()
-    return "html" in kind or ("plain" not in kind and bool(MARKUP.search(text[:2000])))
+    return "html" in kind or ("plain" not in kind and bool(MARKUP.search(text)))
+
+
+def hash_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def text_hash(text: str) -> int:
+    """64-bit hash of a text in any letter case."""
+    return hash_of(text.lower())
+
+
+@functools.lru_cache(100_000)
+def path_hash(above: int, name: str, attributes: str) -> int:
+    """Token of a container or element below another: its name, the values of naming attributes (digits of an id count as one) and the names of the others."""
+    own = []
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        own.append(f"{key}={re.sub('[0-9]+', '0', value) if key == 'id' else value}" if key in NAMING else key)
+    return hash_of(f"{above}/{name}[{' '.join(sorted(own))}]")
+
+
+def _blanked(text: str) -> str:
+    """The text with comments, scripts, styles and the head made blank; line feeds stay. What is never closed stays as it is."""
+    parts, at, unclosed = [], 0, set()
+    for match in SILENT.finditer(text):
+        name = (match.group(1) or "").lower()
+        if match.start() < at or name in unclosed:
+            continue
+        end = CLOSING[name].search(text, match.end())
+        if not end:
+            unclosed.add(name)
+            continue
+        parts += [text[at : match.start()], "\n" * text.count("\n", match.start(), end.end())]
+        at = end.end()
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def _plain(markup: str) -> str:
-    return re.sub(r"\s+", " ", html.unescape(markup)).strip()
+    text = " ".join(markup.split())
+    return " ".join(html.unescape(text).split()) if "&" in text else text
 
 
-def _blank_out(match: re.Match) -> str:
-    return "\n" * match.group().count("\n")
+class Page:
+    """Slots as (token, tokens from the outermost container down to it), counts of tokens, and lines as [line_no, slot, texts, characters outside of links, characters in links]."""
 
+    def __init__(self):
+        self.slots: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        self.tokens: Counter = Counter()
+        self.lines: list[list] = []
 
-def parse_markup(text: str) -> tuple[list[tuple[int, int, str]], list[str], int, Counter]:
-    """Lines with text as (line_no, slot, text), slots by path, slot of the headline or -1, counts of the elements.
+    def open(self, above: int, name: str, attributes: str = "") -> int:
+        token = path_hash(self.slots[above][0], name, attributes)
+        self.tokens[token] += 1
+        self.slots.append((token, (*self.slots[above][1], token)))
+        return len(self.slots) - 1
 
-    A slot is one container in the page; slots[i] is its path and a slot lies in another if it was opened inside it.
-    """
-    found = TITLE.search(text)
-    title = _plain(TAG.sub(" ", found.group(1))) if found else ""
-    body = SILENT.sub(_blank_out, text)
+    def element(self, above: int, name: str) -> None:
+        self.tokens[path_hash(self.slots[above][0], name, "")] += 1
+
+    def text(self, no: int, slot: int, shown: str, linked: bool) -> None:
+        if not self.lines or self.lines[-1][0] != no:
+            self.lines.append([no, slot, [], 0, 0])
+        line = self.lines[-1]
+        line[2].append(shown)
+        line[4 if linked else 3] += len(shown)
+
+
+def parse_markup(text: str) -> Page:
+    """A page of mark-up. A line lies in the container in which its text begins; a tag may go over several lines."""
+    page, body = Page(), _blanked(text)
     stack: list[tuple[str, int]] = []
-    slots, elements = [""], Counter()
-    lines, head, by_title = [], -1, -1
-    h1 = False
-    for no, line in enumerate(body.split("\n"), 1):
-        at, parts, slot, had_h1 = 0, [], None, h1
-        for tag in TAG.finditer(line):
-            piece = _plain(line[at : tag.start()])
-            if piece:
-                parts.append(piece)
-                slot = slot if slot is not None else (stack[-1][1] if stack else 0)
-            at = tag.end()
-            closing, name, attributes = tag.group(1), tag.group(2).lower(), tag.group(3)
-            if name == "h1":
-                h1 = not closing
-                had_h1 = had_h1 or h1
-            if name not in CONTAINERS:
-                if not closing:
-                    elements[f"{slots[stack[-1][1] if stack else 0]}>{name}"] += 1
-                continue
-            if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth:]
-                        break
-            else:
-                names = " ".join(sorted(re.findall(r"[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", attributes.rstrip("/"))))
-                path = f"{slots[stack[-1][1] if stack else 0]}/{name}[{names}]"
-                elements[path] += 1
-                slots.append(path)
-                stack.append((name, len(slots) - 1))
-        piece = _plain(line[at:])
-        if piece:
-            parts.append(piece)
-            slot = slot if slot is not None else (stack[-1][1] if stack else 0)
-        if not parts:
+    at, no, linked = 0, 1, False
+
+    def pieces(start: int, end: int) -> None:
+        nonlocal no
+        between = body[start:end]
+        if between.isspace():
+            no += between.count("\n")
+            return
+        for i, piece in enumerate(between.split("\n")):
+            no += i > 0
+            shown = _plain(piece)
+            if shown:
+                page.text(no, stack[-1][1] if stack else 0, shown, linked)
+
+    for tag in TAG.finditer(body):
+        if tag.start() > at:
+            pieces(at, tag.start())
+        at = tag.end()
+        no += tag.group().count("\n")
+        closing, name = tag.group(1), tag.group(2).lower()
+        if name in LINKS:
+            linked = not closing
+        if name not in CONTAINERS:
+            if not closing:
+                page.element(stack[-1][1] if stack else 0, name)
             continue
-        shown = " ".join(parts)
-        if head < 0 and had_h1:
-            head = slot
-        if by_title < 0 and title and (shown == title or title.endswith(f": {shown}") or title.startswith((f"{shown} - ", f"{shown} | "))):
-            by_title = slot
-        lines.append((no, slot, shown))
-    return lines, slots, head if head >= 0 else by_title, elements
-
-
-def parse_plain(text: str) -> tuple[list[tuple[int, int, str]], list[str], int, Counter]:
-    """The same for a page without mark-up. Its slots are the sections between GAP blank lines or ruled lines, and the lists of links under a line with a colon; the headline is a line in capitals."""
-    lines, slots, head, blank = [], ["#0"], -1, 0
+        linked = False
+        if closing:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == name:
+                    del stack[depth:]
+                    break
+        elif len(stack) >= DEPTH:
+            stack.append((name, stack[-1][1]))
+        else:
+            stack.append((name, page.open(stack[-1][1] if stack else 0, name, tag.group(3).rstrip("/"))))
+    if at < len(body):
+        pieces(at, len(body))
+    return page
+
+
+def line_form(shown: str, listed: bool) -> str:
+    """What a line of a plain text is by its form; it stands for the name of an element."""
+    if listed:
+        return "list"
+    if " | " in shown or shown.startswith("["):
+        return "bar"
+    if shown.isupper() and sum(c.isalpha() for c in shown) >= 3:
+        return "headline"
+    return "item" if shown.startswith(("* ", "- ")) else "text"
+
+
+def parse_plain(text: str) -> Page:
+    """A page without mark-up. Sections begin after GAP blank lines, at ruled lines, and at a line with a colon over a list, whose items count as links."""
+    page, slot, blank, listed = Page(), -1, 0, False
     raw = text.split("\n")
     for no, line in enumerate(raw, 1):
-        shown = re.sub(r"\s+", " ", line).strip()
+        shown = " ".join(line.split())
         if not shown:
             blank += 1
             continue
         ruled = re.fullmatch(r"[-=_*~]{5,}", shown) is not None
-        listed = blank > 0 and shown.endswith(":") and no < len(raw) and raw[no].lstrip().startswith("* ")
-        if ruled or listed or (blank >= GAP and lines):
-            slots.append(f"#{len(slots)}")
+        opens = blank > 0 and shown.endswith(":") and no < len(raw) and raw[no].lstrip().startswith("* ")
+        form = "rule" if ruled else line_form(shown, opens)
+        if ruled or opens or slot < 0 or blank >= GAP:
+            slot, listed = page.open(0, form), opens
+            page.element(slot, "first")
         blank = 0
-        if ruled:
-            continue
-        if head < 0 and shown.isupper() and sum(c.isalpha() for c in shown) >= 3 and (not lines or lines[-1][1] != len(slots) - 1):
-            head = len(slots) - 1
-        lines.append((no, len(slots) - 1, shown))
-    return lines, slots, head, Counter()
-
-
-def text_hash(text: str) -> int:
-    """64-bit hash of a text in any letter case."""
-    import xxhash
+        if not ruled:
+            page.element(slot, form)
+            page.text(no, slot, shown, form == "bar" or (listed and form == "item"))
+    return page
 
-    return xxhash.xxh64_intdigest(text.lower()) - (1 << 63)
 
+def _parsed(with_text: bool):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        rows: list[tuple] = []
+        for batch in batches:
+            for content_id, host, key, contents, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                meta = dict(meta) if meta is not None else None
+                text = decoded(contents, meta)
+                if not text or text.isspace():
+                    continue
+                markup = is_markup(text, meta)
+                read = parse_markup(text) if markup else parse_plain(text)
+                site, page = hash_of(f"{host or ''}\0{markup}"), hash_of(f"{host or ''}\0{key or ''}")
+                rows.append((TOKEN, None, site, page, None, 0, 1, None, None, None, None))
+                rows += [(TOKEN, None, site, page, None, token, n, None, None, None, None) for token, n in read.tokens.items()]
+                for slot, above in read.slots[1:]:
+                    if (site, slot) not in told:  # once for each task is enough
+                        told.add((site, slot))
+                        rows.append((ABOVE, None, site, None, slot, None, None, None, None, above, None))
+                if len(told) > 1_000_000:
+                    told.clear()
+                for no, slot, shown, chars, links in read.lines:
+                    shown = " ".join(shown)
+                    rows.append((LINE, content_id, site, page, read.slots[slot][0], text_hash(shown), chars, links, no, None, shown if with_text else None))
+                if len(rows) > 50_000:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
-def inside(slots: list[str], outer: int) -> set[int]:
-    """The slots that lie in ``outer``: those opened after it whose path goes on from its path, up to the next slot that does not."""
-    held = {outer}
-    for i in range(outer + 1, len(slots)):
-        if not slots[i].startswith(slots[outer] + "/"):
-            break
-        held.add(i)
-    return held
+    return parse
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for content_id, host, key, contents, meta in zip(*(c.to_pylist() for c in batch.columns)):
-            meta = dict(meta) if meta is not None else None
-            text = decoded(contents, meta)
-            markup = is_markup(text, meta)
-            yield content_id, host or "", key or "", markup, *(parse_markup(text) if markup else parse_plain(text))
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "string": pa.string()}
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, text, page, n, head) of each page: its elements by path, the texts of the slot with its headline by hash, and a row with an empty path if it has a headline."""
-    import xxhash
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in PARSED.split(", ")]
+    return pa.record_batch([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
-    rows: list[tuple] = []
-    for _, host, key, _, lines, slots, head, elements in _parsed(batches):
-        page = xxhash.xxh64_intdigest(f"{host}\0{key}") - (1 << 63)
-        rows += [(host, path, None, page, n, head >= 0 and slots[head] == path) for path, n in elements.items()]
-        if head >= 0:
-            own = inside(slots, head)
-            rows += [(host, None, t, page, 1, False) for t in {text_hash(text) for _, slot, text in lines if slot in own}]
-            rows.append((host, "", None, page, 1, True))
-        if len(rows) > 20_000:
-            yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
 
+def parsed_pages(content: DataFrame, with_text: bool = False) -> DataFrame:
+    """The staged rows of every page (PARSED): its tokens, the paths of its slots, and its lines."""
+    pages = content.select(
+        F.col("content_id").cast("long").alias("content_id"), F.coalesce(host_of(F.col("s3_key")), F.lit("")).alias("host"), F.col("s3_key").alias("key"), "contents", "meta"
+    )
+    return stage(pages.mapInArrow(_parsed(with_text), PARSED), "parsed", by="kind")
+
+
+def template_classes(parsed: DataFrame) -> DataFrame:
+    """(site, token, n_pages) of the tokens in valid classes. Two copies of a page (of one key) count once."""
+    once = parsed.filter(F.col("kind") == TOKEN).groupBy("site", "token", "page").agg(F.max("n").alias("n"))
+    vectors = stage(once.groupBy("site", "token").agg(F.count(F.lit(1)).alias("n_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")), "vectors")
+    sizes = vectors.filter("token = 0").select("site", F.col("n_pages").alias("n_site"))
+    classes = vectors.filter("token <> 0").groupBy("site", "vector", "n_pages").agg(F.count(F.lit(1)).alias("n_tokens")).join(sizes, "site")
+    valid = classes.filter((F.col("n_tokens") >= 2) & ((F.col("n_pages") >= 2) | (F.col("n_site") < LEAST_PAGES)))
+    return vectors.filter("token <> 0").join(valid.select("site", "vector", "n_pages"), ["site", "vector", "n_pages"], "left_semi").select("site", "token", "n_pages")
+
+
+def text_counts(parsed: DataFrame) -> DataFrame:
+    """(site, slot, token, n, chars, links) of each text of a slot: the pages that have it and its characters outside and inside of links."""
+    once = parsed.filter(F.col("kind") == LINE).groupBy("site", "slot", "token", "page").agg(F.max("n").alias("chars"), F.max("links").alias("links"))
+    return once.groupBy("site", "slot", "token").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links"))
+
+
+def main_slots(parsed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(site, slot, n_pages): the slots that make up the main body of a site, and the pages that have their container."""
+    above = parsed.filter(F.col("kind") == ABOVE).select("site", "slot", "above").dropDuplicates(["site", "slot"])
+    held = above.select("site", "slot", F.posexplode("above").alias("depth", "token"))
+    around = stage(held.join(classes, ["site", "token"]), "around")  # the template's containers around each slot
+    home = around.groupBy("site", "slot").agg(F.max(F.struct("depth", "token", "n_pages")).alias("home"))
+    # texts of one count are one row, so that a slot of many texts is a few rows
+    by_count = texts.groupBy("site", "slot", "n").agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("chars", "links")], F.sum(F.when(F.col("chars") > 0, F.col("n")).otherwise(0)).alias("lines"))
+    fresh = (F.col("n") < 2) | (F.col("n") * 2 <= F.col("home.n_pages"))
+    filled = stage(
+        by_count.join(home, ["site", "slot"]).groupBy("site", "slot", "home.token", "home.n_pages")
+        .agg(*[F.sum(F.when(fresh, F.col(c)).otherwise(0)).alias(c) for c in ("chars", "lines")], F.sum("links").alias("links")),
+        "filled",
+    )
+    direct = filled.groupBy("site", "token", "n_pages").agg(*[F.sum(c).alias(c) for c in ("lines", "chars", "links")])
+    carrying = direct.filter((F.col("lines") * 2 >= F.col("n_pages")) & (F.col("chars") > F.col("links"))).select("site", "token")
+    top = around.join(carrying, ["site", "token"], "left_semi").groupBy("site", "slot").agg(F.min(F.struct("depth", "token", "n_pages")).alias("top"))
+    joined = top.select("site", "slot", F.col("top.token").alias("token"), F.col("top.n_pages").alias("n_pages"))
+    mass = joined.join(filled.select("site", "slot", "chars", "links"), ["site", "slot"]).groupBy("site", "token").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    main = mass.filter("chars > links").groupBy("site").agg(F.max(F.struct("chars", "token")).getField("token").alias("token"))
+    return joined.join(main, ["site", "token"], "left_semi").select("site", "slot", "n_pages")
+
+
+def template_texts(texts: DataFrame, slots: DataFrame) -> DataFrame:
+    """(site, token) of the texts in the main slots that belong to the template."""
+    own = texts.join(slots, ["site", "slot"]).groupBy("site", "token").agg(F.max("n").alias("n"), F.max("n_pages").alias("n_site"))
+    own = stage(own, "own")
+    large = F.col("n_site") >= LEAST_PAGES
+    known = own.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("total"),
+        F.sum(F.when(large, F.col("n"))).alias("with"), F.sum(F.when(large, F.col("n_site"))).alias("of"),
+    ).filter("total >= 2")
+    shared = (F.col("n_sites") >= LEAST_PAGES) & (F.col("with") >= COMMON * F.col("of"))
+    alone = (F.col("n_sites") < LEAST_PAGES) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= COMMON * F.col("n_site"))
+    return own.join(known, "token").filter(shared | alone).select("site", "token")
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("host", pa.string()), ("path", pa.string()), ("text", pa.int64()), ("page", pa.int64()), ("n", pa.int64()), ("head", pa.bool_())]
-    return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, main_slots, texts): paths of the container that holds the main body, and hashes of the template's texts in it.
 
-    Two copies of a page (of one key) count once.
-    """
-    rows = pages.mapInArrow(_tokens, "host string, path string, text long, page long, n long, head boolean")
-    once = stage(rows.groupBy("host", "path", "text", "page").agg(F.max("n").alias("n"), F.max("head").alias("head")), "tokens")
-    # equal sums of the hashes of page and count stand for equal vectors
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")
-    elements = once.filter("path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("head")).alias("n_head"), vector)
-    classes = elements.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("n_pages").alias("support"))
-    sizes = once.filter("path = ''").groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    valid = classes.join(sizes, "host").filter((F.col("n_tokens") >= 2) & ((F.col("support") >= 2) | (F.col("n_host") < 2))).select("host", "vector")
-    slots = elements.filter("n_head > 0").join(valid, ["host", "vector"], "left_semi")
-    main = slots.groupBy("host").agg(F.max(F.struct("n_head", "n_pages", "path")).alias("best")).select("host", F.array("best.path").alias("main_slots"))
-
-    texts = once.filter("text is not null").groupBy("host", "text").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
-    large = F.col("n_host") >= LEAST_PAGES
-    known = texts.groupBy("text").agg(
-        F.count(F.lit(1)).alias("n_hosts"), F.sum("n").alias("total"),
-        F.sum(F.when(large, F.col("n"))).alias("with"), F.sum(F.when(large, F.col("n_host"))).alias("of"),
-    ).filter("total >= 2")
-    shared = (F.col("n_hosts") >= LEAST_PAGES) & (F.col("with") >= COMMON * F.col("of"))
-    own = (F.col("n_hosts") < LEAST_PAGES) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= COMMON * F.col("n_host"))
-    chosen = texts.join(known, "text").filter(shared | own).groupBy("host").agg(F.collect_list("text").alias("texts"))
-    return main.join(chosen, "host", "full")
-
-
-def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages, found_ids, found_lines = batch.select([0, 1, 2, 3, 4]), [], []
-        templates = zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())
-        for (content_id, _, _, markup, lines, slots, head, _), (mains, texts) in zip(_parsed([pages]), templates):
-            mains, texts = set(mains or ()), set(texts or ())
-            outer = next((i for i, path in enumerate(slots) if path in mains), -1) if markup else -1
-            if outer < 0 or (head >= 0 and head not in inside(slots, outer)):
-                outer = head
-            if outer < 0:
-                continue
-            own = inside(slots, outer)
-            kept = [no for no, slot, text in lines if slot in own and text_hash(text) not in texts]
-            found_ids += [content_id] * len(kept)
-            found_lines += kept
-        yield pa.record_batch({"content_id": pa.array(found_ids, pa.int64()), "line_no": pa.array(found_lines, pa.int32())})
+def _body_lines(content: DataFrame, with_text: bool) -> DataFrame:
+    parsed = parsed_pages(content, with_text)
+    texts = stage(text_counts(parsed), "texts")
+    slots = stage(main_slots(parsed, stage(template_classes(parsed), "classes"), texts), "slots")
+    lines = parsed.filter(F.col("kind") == LINE).select("content_id", "line_no", "site", "slot", "token", "text", F.pmod("page", F.lit(SALT)).cast("int").alias("salt"))
+    # a site may have a third of all lines: its few rows of slots and texts are there for every salt
+    body = lines.join(_salted(slots.select("site", "slot")), ["site", "slot", "salt"], "left_semi")
+    return body.join(_salted(template_texts(texts, slots)), ["site", "token", "salt"], "left_anti")
 
 
 def main_body(content: DataFrame) -> DataFrame:
     """(content_id, line_no) of each line that holds text of the page's main body.
 
-    ``content`` has content_id, s3_key, contents and meta. Null and empty contents and pages without a headline or
-    a slot for it (pages of links only) have no lines. Without meta, contents are UTF-8 and mark-up is told by its
+    ``content`` has content_id, s3_key, contents and meta. Null and empty contents, and pages without the slot of their
+    site's main body (pages of links only), have no lines. Without meta, contents are UTF-8 and mark-up is told by its
     tags. Copies come out each. A page without s3_key belongs to the host of no name.
     """
-    pages = content.select(
-        F.col("content_id").cast("long").alias("content_id"), F.coalesce(host_of(F.col("s3_key")), F.lit("")).alias("host"), F.col("s3_key").alias("key"), "contents", "meta"
-    )
-    templates = stage(site_templates(pages), "templates")
-    return pages.join(templates, "host", "left").select("content_id", "host", "key", "contents", "meta", "main_slots", "texts").mapInArrow(_body, "content_id long, line_no int")
+    return _body_lines(content, False).select("content_id", "line_no")
 
 
 def body_text(content: DataFrame) -> DataFrame:
-    """(content_id, n_lines, body): the lines of the main body put together, without mark-up."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, counts = [], [], []
-            kept = batch.column(5).to_pylist()
-            for (content_id, _, _, _, parsed, _, _, _), numbers in zip(_parsed([batch.select([0, 1, 2, 3, 4])]), kept):
-                numbers = set(numbers or ())
-                body = [text for no, _, text in parsed if no in numbers]
-                ids.append(content_id)
-                counts.append(len(body))
-                texts.append("\n".join(body))
-            yield pa.record_batch({"content_id": pa.array(ids, pa.int64()), "n_lines": pa.array(counts, pa.int32()), "body": pa.array(texts, pa.string())})
-
-    kept = main_body(content).groupBy("content_id").agg(F.collect_set("line_no").alias("numbers"))
-    pages = content.select(F.col("content_id").cast("long").alias("content_id"), F.lit("").alias("host"), F.lit("").alias("key"), "contents", "meta")
-    return pages.join(kept, "content_id", "left").mapInArrow(lines, "content_id long, n_lines int, body string")
+    """(content_id, n_lines, body): the lines of the main body put together, without mark-up; no lines and the empty text for a page without one."""
+    lines = _body_lines(content, True).select("content_id", F.struct("line_no", "text").alias("line"))
+    pages = content.select(F.col("content_id").cast("long").alias("content_id"), F.lit(None).cast("struct<line_no:int,text:string>").alias("line"))
+    # collect_list leaves nulls out; a page with several rows of one content_id is one
+    whole = pages.union(lines).groupBy("content_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return whole.select("content_id", F.size("lines").alias("n_lines"), F.array_join(F.col("lines.text"), "\n").alias("body"))

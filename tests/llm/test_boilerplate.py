@@ -38,24 +38,59 @@ def test_sites_of_different_layout(spark):
     assert got[901] == wanted_lines(made[0][1]) and got[904] == got[1] and not {900, 902, 903} & set(got)
 
 
+def plain_page(i, head, related):
+    return f"Home | News\n\n\n{head}\n\nBy desk {i}\n\nfirst line {i}\nsecond line {i}\n\n- point {i}\n\n{related}:\n* other page {i}\n* another page {i}\n\n----------\nAll rights reserved."
+
+
 def test_plain_text_and_charsets(spark):
-    plain = "Home | News\n\n\nGRÜSSE AUS KÖLN\n\nBy a desk\n\nfirst line\nsecond line\n\n- point\n\nRelated:\n* other page\n\n----------\nAll rights reserved."
     latin = {"content-type": "text/plain; charset=iso-8859-1"}
-    rows = [(1, "p.test/a", plain.encode("latin-1"), latin, "", "", ""), (2, "p.test/b", plain.encode(), {"content-type": "text/plain; charset=nonsense"}, "", "", ""), (3, "p.test/c", b"no headline here", {"content-type": "text/plain"}, "", "", "")]
+    rows = [(1, "p.test/a", plain_page(1, "GRÜSSE AUS KÖLN", "Related").encode("latin-1"), latin, "", "", "")]
+    rows += [(2, "p.test/b", plain_page(2, "NEWS OF TODAY", "Related").encode(), {"content-type": "text/plain; charset=nonsense"}, "", "", "")]
+    rows += [(3, "p.test/c", b"Home | News\n\n\nRelated:\n* one\n* two\n\n----------\nAll rights reserved.", {"content-type": "text/plain"}, "", "", "")]
+    rows += [(4, "p.test/d", plain_page(4, "LATE NEWS", "Most read").encode(), None, "", "", "")]
     frame = spark.createDataFrame(rows, SCHEMA)
     got = {}
     for r in B.main_body(frame).collect():
         got.setdefault(r.content_id, []).append(r.line_no)
-    assert {k: sorted(v) for k, v in got.items()} == {1: [4, 6, 8, 9, 11], 2: [4, 6, 8, 9, 11]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: [4, 6, 8, 9, 11] for k in (1, 2, 4)}
     bodies = {r.content_id: (r.n_lines, r.body) for r in B.body_text(frame).collect()}
-    assert bodies[1] == (5, "GRÜSSE AUS KÖLN\nBy a desk\nfirst line\nsecond line\n- point") and bodies[3] == (0, "")
+    assert bodies[1] == (5, "GRÜSSE AUS KÖLN\nBy desk 1\nfirst line 1\nsecond line 1\n- point 1") and bodies[3] == (0, "")
+
+
+def test_rows_come_from_the_classes(spark, monkeypatch):
+    rows = [(i, key, text.encode(), HTML, "", "", "") for i, (key, text) in enumerate(p for h in ("a.test", "b.test") for p in site(h, 6))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert B.main_body(frame).count() > 0
+    found = B.template_classes
+    monkeypatch.setattr(B, "template_classes", lambda parsed: found(parsed).limit(0))
+    assert B.main_body(frame).count() == 0
+
+
+def test_no_headline_is_needed(spark):
+    made = [(key, text.replace("<h1>", "<p>").replace("</h1>", "</p>")) for key, text in site("a.test", 6)]
+    rows = [(i, key, text.encode(), HTML, "", "", "") for i, (key, text) in enumerate(made)]
+    got = {}
+    for r in B.main_body(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.content_id, set()).add(r.line_no)
+    assert all(got[i] == wanted_lines(text) for i, (_, text) in enumerate(made))
 
 
 def test_empty_table(spark):
-    assert B.main_body(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert B.main_body(spark.createDataFrame([], SCHEMA)).count() == 0 and B.body_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tags_over_several_lines():
+    page = B.parse_markup('<body>\n<div\n class="nav"\n>\n<a href="/x">menu</a>\n</div>\n<!-- a\nb --><p>text &amp;\nmore</p></body>')
+    assert [(no, " ".join(shown), chars, links) for no, _, shown, chars, links in page.lines] == [(5, "menu", 0, 4), (8, "text &", 6, 0), (9, "more", 4, 0)]
+    assert len(page.slots) == 3 and page.lines[0][1] == 2 and page.lines[1][1] == 1
+
+
+def test_markup_is_told_from_the_whole_text():
+    assert B.is_markup("<!--" + "x" * 5000 + "--><p>a</p>", None) and not B.is_markup("x" * 5000, None)
 
 
 def test_broken_markup_does_not_fail():
-    for text in ("<div><p>x", "</div></div>text", "<div class='a><p>b</p>", "<" * 1000, "<h1>", "<title>t</title>\nt", "\x00<table><tr><td>" * 50):
-        lines, slots, head, _ = B.parse_markup(text)
-        assert head < len(slots) and all(0 <= slot < len(slots) for _, slot, _ in lines)
+    for text in ("<div><p>x", "</div></div>text", "<div class='a><p>b</p>", "<" * 1000, "<h1>", "<title>t</title>\nt", "\x00<table><tr><td>" * 2000, '<a "' * 20_000, "<script" * 20_000, "<!--" * 20_000, "İ<script>x</script>y"):
+        page = B.parse_markup(text)
+        assert all(0 <= line[1] < len(page.slots) for line in page.lines) and max(len(above) for _, above in page.slots) <= B.DEPTH
+    assert [line[2] for line in B.parse_markup("İ<script>x</script>y").lines] == [["İy"]]
