@@ -2,9 +2,11 @@
 
 A key's 64-bit hash gives a fingerprint: the quotient (its leading bits, whose foremost ones number the shard) and
 the remainder. A shard stores, for each quotient, how many remainders it has (the runs) and the remainders in
-order, two bytes each with the default of 16 bits. Partial filters are built where the keys lie, sorted, and merged
-per shard; a merged filter is the same as one built at once. A key that is not in the filter has certainly not been
-seen; of those that are, an exact check of the candidates tells the wrong ones, which gives the measured rate.
+order, two bytes each with the default of 16 bits. Partial filters are built where the keys lie; they are sparse, sorted
+fingerprints of a shard as differences, so that many small ones cost no more than their keys. They are merged in pairs
+per shard, and only the merged filter has runs; it is the same as one built at once. A key that is not in the filter has
+certainly not been seen. Of those that are, an exact check of the candidates tells the wrong ones, which gives the measured
+rate; earlier keys go there only if a bitmap of the candidates has them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from skein.functions.ids import host_folded_id
 from skein.runtime import stage
 
 FILTER_SCHEMA = "shard int, runs binary, remainders binary"
+PARTIAL_SCHEMA = "shard int, prints binary"
 KEYS_PER_SHARD = 500_000
+PARTIAL_KEYS = 4_000_000  # keys of a partial filter, which is what a task holds
+MAP_BITS = 29  # the bitmap of the candidates has at most 2^29 bits, 64 MB; it helps up to that many candidates
 
 
 class Layout:
@@ -62,38 +67,97 @@ class Layout:
         quotient = np.repeat(np.arange(len(counts), dtype=np.int64), counts) + (shard << within)
         return (quotient << self.remainder_bits) | np.frombuffer(remainders, self.kind).astype(np.int64)
 
-    def merge(self, shard: int, filters: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        return self.pack(np.unique(np.concatenate([self.unpack(shard, *f) for f in filters])))
+    def split(self, prints: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The shards of fingerprints in any order, and of each shard its sorted distinct ones as differences of the least width."""
+        prints = np.unique(prints)
+        shards = prints >> (self.quotient_bits - self.shard_bits + self.remainder_bits)
+        at = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(prints) else np.empty(0, np.int64)
+        within = prints & ((1 << (self.quotient_bits - self.shard_bits + self.remainder_bits)) - 1)
+        steps = np.diff(within, prepend=0)
+        steps[at] = within[at]
+        parts = np.split(steps, at[1:]) if len(at) else []
+        kinds = [next(k for k in (np.uint16, np.uint32, np.uint64) if p.max() <= np.iinfo(k).max) for p in parts]
+        return shards[at], [bytes([np.dtype(k).itemsize]) + p.astype(k).tobytes() for k, p in zip(kinds, parts)]
+
+    def join(self, shard: int, prints: bytes) -> np.ndarray:
+        """The sorted fingerprints of one part that ``split`` made."""
+        steps = np.frombuffer(prints, {2: np.uint16, 4: np.uint32, 8: np.uint64}[prints[0]], offset=1)
+        return np.cumsum(steps.astype(np.int64)) + (shard << (self.quotient_bits - self.shard_bits + self.remainder_bits))
+
+
+class Merger:
+    """Sorted distinct fingerprints of one shard, from parts that come one after another: two of about one size are merged into one, so that each is merged a logarithmic number of times."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+
+    def add(self, part: np.ndarray) -> None:
+        self.held.append(part)
+        while len(self.held) > 1 and len(self.held[-2]) <= 2 * len(self.held[-1]):
+            right, left = self.held.pop(), self.held.pop()
+            self.held.append(np.union1d(left, right))
+
+    def all(self) -> np.ndarray:
+        whole = self.held.pop() if self.held else np.empty(0, np.int64)
+        while self.held:
+            whole = np.union1d(self.held.pop(), whole)
+        return whole
 
 
 def build_filter(prints: DataFrame, layout: Layout) -> DataFrame:
-    """(shard, runs, remainders) over a column fp of fingerprints. Each batch of rows makes a partial filter per shard; they are merged."""
-    shift = layout.quotient_bits - layout.shard_bits + layout.remainder_bits
+    """(shard, runs, remainders) over a column fp of fingerprints. Each task makes sparse partial filters per shard; they are merged as they come in."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            own = np.unique(np.concatenate(held))
+            shards, parts = layout.split(np.concatenate(held))
             held.clear()
-            shards = own >> shift
-            at = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
-            packed = [layout.pack(part) for part in np.split(own, at[1:])]
-            return pa.record_batch({"shard": pa.array(shards[at], pa.int32()), "runs": pa.array([p[0] for p in packed], pa.binary()), "remainders": pa.array([p[1] for p in packed], pa.binary())})
+            return pa.record_batch({"shard": pa.array(shards, pa.int32()), "prints": pa.array(parts, pa.binary())})
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch.column(0).to_numpy())
-            if sum(map(len, held)) >= 4_000_000:
+            if sum(map(len, held)) >= PARTIAL_KEYS:
                 yield close()
         if held:
             yield close()
 
-    def merge(key: tuple, batches: pd.DataFrame) -> pd.DataFrame:
-        runs, remainders = layout.merge(int(key[0]), list(zip(batches["runs"], batches["remainders"])))
-        return pd.DataFrame({"shard": [key[0]], "runs": [runs], "remainders": [remainders]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, merger = None, Merger()
+
+        def close() -> pa.RecordBatch:
+            runs, remainders = layout.pack(merger.all())
+            return pa.record_batch({"shard": pa.array([shard], pa.int32()), "runs": pa.array([runs], pa.binary()), "remainders": pa.array([remainders], pa.binary())})
 
-    return prints.select("fp").mapInArrow(partial, FILTER_SCHEMA).groupBy("shard").applyInPandas(merge, FILTER_SCHEMA)
+        for batch in batches:
+            for of, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard is not None and of != shard:
+                    yield close()
+                shard = of
+                merger.add(layout.join(of, prints))
+        if shard is not None:
+            yield close()
+
+    partials = prints.select("fp").mapInArrow(partial, PARTIAL_SCHEMA)
+    return partials.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, FILTER_SCHEMA)
+
+
+def cut_by_bitmap(keys: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """The rows of ``keys`` whose fp may be one of ``wanted``: all that are, and about one in eight of the others or less.
+
+    The bitmap has eight bits for each wanted fingerprint, 2^MAP_BITS at most, and is broadcast in pieces of 4 KB; where
+    there are so many that it would be full, all keys are returned.
+    """
+    bits = min(MAP_BITS, max(15, math.ceil(math.log2(max(n_wanted, 1) * 8))))
+    if n_wanted > 1 << MAP_BITS:
+        return keys
+    place = F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits)
+    piece, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767))
+    maps = wanted.select(piece.alias("piece"), bit.alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))) > 0
+    return keys.withColumn("piece", piece).join(F.broadcast(maps), "piece").filter(is_set).select(*keys.columns)
 
 
 def _local_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +210,9 @@ def seen_before(rows: DataFrame, earlier: DataFrame, remainder_bits: int = 16) -
     candidates = stage(probes.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_probe(layout), "row_id long"), "candidates")
     # the exact check, of candidates only: earlier keys that share a fingerprint with one of them
     open_ = stage(firsts.join(candidates.hint("merge"), "row_id"), "open")
-    wanted = open_.select("fp").distinct()
-    before = keys.select("key", fp.alias("fp"), F.lit(None).cast("long").alias("row_id")).unionByName(firsts).join(wanted, "fp", "left_semi")
+    wanted = stage(open_.select("fp").distinct(), "wanted")
+    near = cut_by_bitmap(keys.select("key", fp.alias("fp"), F.lit(None).cast("long").alias("row_id")).unionByName(firsts), wanted, wanted.count())
+    before = near.join(wanted, "fp", "left_semi")
     known = before.groupBy("key").agg(F.count(F.when(F.col("row_id").isNull(), 1)).alias("n_earlier"), F.min("row_id").alias("first_id"))
     checked = open_.join(known, "key").select("row_id", ((F.col("n_earlier") == 0) & (F.col("row_id") <= F.col("first_id"))).alias("wrong"))
     return marked.filter("repeated").select("row_id", F.lit(False).alias("wrong")).union(checked)

@@ -65,4 +65,42 @@ def test_packing_and_merging(bits):
     packed = [layout.pack(p) for p in parts]
     for part, held in zip(parts, packed):
         assert (layout.unpack(5, *held) == part).all()
-    assert layout.merge(5, packed) == layout.pack(np.unique(np.concatenate(parts)))
+    merger = seen.Merger()
+    for part in parts:
+        shards, prints = layout.split(part[::-1])
+        assert shards.tolist() == [5] and (layout.join(5, prints[0]) == part).all()
+        merger.add(layout.join(5, prints[0]))
+    assert layout.pack(merger.all()) == layout.pack(np.unique(np.concatenate(parts)))
+
+
+def test_partial_filters_of_many_keys_are_no_larger_than_their_fingerprints():
+    layout = seen.Layout(10**10)
+    prints = np.random.default_rng(3).integers(0, 1 << (layout.quotient_bits + layout.remainder_bits), 1_000_000)
+    shards, parts = layout.split(prints)
+    assert len(shards) == 1 << layout.shard_bits and sum(map(len, parts)) <= prints.nbytes
+    own = np.unique(prints)
+    at = seen.KEYS_PER_SHARD
+    assert (np.concatenate([layout.join(int(s), p) for s, p in zip(shards, parts)]) == own).all() and at * 2 >= 10**10 / len(shards)
+    assert layout.split(prints[:0])[1] == []
+
+
+def test_bitmap_keeps_all_that_are_wanted(spark):
+    keys = spark.range(40_000).selectExpr("id * 7919 as fp", "id")
+    wanted = keys.filter("id % 100 = 3").select("fp")
+    kept = seen.cut_by_bitmap(keys, wanted, 400)
+    assert kept.join(wanted, "fp", "left_semi").count() == 400 and kept.count() < 40_000 // 4
+    assert seen.cut_by_bitmap(keys, wanted.limit(0), 0).count() == 0
+    assert seen.cut_by_bitmap(keys, wanted, (1 << seen.MAP_BITS) + 1).count() == 40_000
+
+
+def test_the_derived_rate_is_the_measured_one_on_a_coarse_filter(spark, monkeypatch):
+    class Coarse(seen.Layout):
+        def __init__(self, n, remainder_bits):
+            super().__init__(n, 8)
+            self.quotient_bits, self.shard_bits = 10, 6
+
+    monkeypatch.setattr(seen, "Layout", Coarse)
+    rows, n = [(i, f"h.test/{i}", "", 0) for i in range(2000)], 20_000
+    earlier = spark.range(n).selectExpr("concat('k.test/', id) as url", "'' as key")
+    rates = seen.error_rates(seen.seen_before(spark.createDataFrame(rows, ROWS), earlier, 8), 2000, n, 8).collect()[0]
+    assert rates.n_rows == 2000 and abs(rates.measured_rate - rates.derived_rate) < 0.02
