@@ -212,7 +212,7 @@ def seen_before(rows: DataFrame, earlier: DataFrame, remainder_bits: int = 16) -
     open_ = stage(firsts.join(candidates.hint("merge"), "row_id"), "open")
     wanted = stage(open_.select("fp").distinct(), "wanted")
     near = cut_by_bitmap(keys.select("key", fp.alias("fp"), F.lit(None).cast("long").alias("row_id")).unionByName(firsts), wanted, wanted.count())
-    before = near.join(wanted, "fp", "left_semi")
+    before = near.join(wanted, "fp")  # not a semi join, which the optimizer would push below the bitmap
     known = before.groupBy("key").agg(F.count(F.when(F.col("row_id").isNull(), 1)).alias("n_earlier"), F.min("row_id").alias("first_id"))
     checked = open_.join(known, "key").select("row_id", ((F.col("n_earlier") == 0) & (F.col("row_id") <= F.col("first_id"))).alias("wrong"))
     return marked.filter("repeated").select("row_id", F.lit(False).alias("wrong")).union(checked)
