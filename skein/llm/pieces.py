@@ -2,7 +2,8 @@
 
 The least number of pieces gives equal targets; each target moves to the strongest boundary near it. If a piece is
 over the limit, counted anew on its own text, or a cut falls inside a word though a better place was in reach, one
-piece more is tried.
+piece more is tried. Where TRIES such layouts have a piece over the limit, pieces are laid out one after another: the
+rest of the text is shared out anew after each, and a piece that is over the limit gives up tokens until it fits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BOUNDARIES = [
     (4, re.compile(r"\s*(?:\r\n|\r|\n)\s*")),
     (5, re.compile(r"(?:[ \t]*(?:\r\n|\r|\n)){2,}\s*")),
 ]
+TRIES = 16
+LEAST_ROOM = 8  # tokens that a piece has beside the overlap; a character has four at most
 PIECE_SCHEMA = "doc_id long, piece_no int, n_pieces int, n_tokens int, start_char int, end_char int, boundary int, text string"
 
 
@@ -66,7 +69,7 @@ def cut(text: str, encode, table_lengths: np.ndarray, limit: int, overlap: int)
     step = limit - overlap
     least = -(-(n - overlap) // step)
     best = None
-    for m in range(least, 2 * least + 16):
+    for m in range(least, least + TRIES):
         pieces, start, fits, clean = [], 0, True, True
         for i in range(1, m + 1):
             if i == m or start + limit >= n and i > 1 and n - start <= limit:
@@ -103,9 +106,36 @@ def cut(text: str, encode, table_lengths: np.ndarray, limit: int, overlap: int)
         best = best or found
         if clean:
             return found
-    if best is None:
-        raise ValueError("no cut within the limit")
-    return best
+    return best or _one_by_one(text, encode, strength, at_char, limit, overlap)
+
+
+def _one_by_one(text: str, encode, strength: np.ndarray, at_char, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Pieces from the start on, each within the limit whatever its text: the last resort of ``cut``."""
+    n, start, last, found = len(strength) - 1, 0, 0, []
+    high = min(limit, n)
+    while last < n:
+        if high <= last:  # even a few tokens after the overlap are too many: this piece begins without one
+            start, high = last, min(last + limit, n)
+        low = max(start + overlap, last) + 1
+        rest = max(1, -(-(n - start - overlap) // (limit - overlap)))  # pieces that the rest takes at least
+        target = high if high == n else min(high, max(low, start + overlap + round((n - start - overlap) / rest)))
+        near = np.arange(max(low, target - limit // 8), high + 1) if high < n else np.array([n])
+        near = near[strength[near] >= 0]
+        if not len(near):
+            near = np.array([i for i in range(last + 1, high + 1) if strength[i] >= 0][-1:] or [last + 1 + int(np.argmax(strength[last + 1 :] >= 0))])
+        stop = int(near[np.lexsort((np.abs(near - target), -strength[near]))[0]])
+        n_tokens = len(encode(text[at_char(start) : at_char(stop)]))
+        if n_tokens > limit and (start < last or stop > start + LEAST_ROOM):
+            high = stop - max(1, n_tokens - limit)
+            if start == last:
+                high = max(high, start + LEAST_ROOM)
+            continue
+        found.append((at_char(start), at_char(stop), n_tokens, int(strength[stop]) if stop < n else 5))
+        last, start = stop, max(stop - overlap, start + 1)
+        while strength[start] < 0:
+            start -= 1
+        high = min(start + limit, n)
+    return found
 
 
 def split_pieces(documents: DataFrame, vocabulary: Vocabulary, limit: int = 1024, overlap: int = 64) -> DataFrame:
@@ -114,8 +144,10 @@ def split_pieces(documents: DataFrame, vocabulary: Vocabulary, limit: int = 1024
     A text within the limit is one piece; a null text counts as the empty one. Consecutive pieces share ``overlap``
     tokens of the document (a few more where the overlap would begin inside a character), and every piece has at
     most ``limit`` tokens when encoded by itself. Without any boundary cuts fall between characters. Only doc_id
-    and text are read, repeated rows come out each.
+    and text are read, repeated rows come out each. The overlap leaves a piece at least LEAST_ROOM tokens of its own.
     """
+    if overlap < 0 or limit < overlap + LEAST_ROOM:
+        raise ValueError(f"limit must be at least overlap + {LEAST_ROOM}")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = vocabulary.get()
