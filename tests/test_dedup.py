@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 import random
 
 import numpy as np
 import pytest
 
 from skein.functions.ids import message_key
+from skein.streaming import dedup
 from skein.streaming.dedup import LAST, fold_page, repeated_deliveries
 
 SCHEMA = "delivery_id long, msg_id string, queue string, received_at timestamp_ntz, frontier_message string, page int"
@@ -68,6 +70,26 @@ def test_stream_against_brute_force(spark, tmp_path, horizon):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_rows_that_look_ups_read_grow_with_the_input_not_with_the_batches(spark, tmp_path, monkeypatch):
+    files, each = 52, 60
+    rows = [(i * each + j, str((i * each + j) % 2000), "q", START + dt.timedelta(minutes=i * 60 + j), None, 1) for i in range(files) for j in range(each)]
+    path = str(tmp_path / "m.parquet")
+    for i in range(files):
+        spark.createDataFrame(rows[i * each : (i + 1) * each], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    read, lost = [], dedup._lost
+
+    def counted(archive, claims):
+        read.append((archive.count(), claims.count()))
+        return lost(archive, claims)
+
+    monkeypatch.setattr(dedup, "_lost", counted)
+    folder = str(tmp_path / "state")
+    found = repeated_deliveries(spark, path, horizon="1 hour", max_bytes_per_trigger=1, pages=2, folder=folder)
+    assert {r.delivery_id for r in found.collect()} == brute(rows)
+    assert len([f for f in os.listdir(f"{folder}/events") if f.startswith("batch=")]) >= 50
+    assert sum(claims for _, claims in read) <= len(rows) and sum(archive for archive, _ in read) <= 4 * len(rows)
+
+
 def test_a_kept_state_goes_on_with_the_files_that_came(spark, tmp_path):
     rng = random.Random(11)
     rows = [(d, str(rng.randrange(40)), rng.choice("ab"), START + dt.timedelta(seconds=rng.randrange(100_000)), None, 1) for d in range(300)]
