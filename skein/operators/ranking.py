@@ -51,3 +51,15 @@ def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, nam
     own = parts.withColumn("_rn", F.row_number().over(window)).withColumn("_lag", F.lag(value).over(window))
     joined = _join_carried(own, carried, keys)
     return joined.select(*rows.columns, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(name))
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the last value that is not null among the rows of the group up to the row."""
+    parts = _parts(rows.withColumn("_value", value), keys, order)
+    window = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.max(F.when(F.col("_value").isNotNull(), F.struct(*order, F.col("_value").alias("_last")))).getField("_last")
+    held = parts.groupBy("_part", *keys).agg(newest.alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select("_part", *keys, F.last("_last", ignorenulls=True).over(before).alias("_before"))  # one row for each part and group
+    joined = _join_carried(parts.withColumn("_own", F.last("_value", ignorenulls=True).over(window)), carried, keys)
+    return joined.select(*rows.columns, F.coalesce("_own", "_before").alias(name))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skein.operators.hierarchy import address_links, hierarchy, preorder
+from skein.operators.hierarchy import address_links, ancestors, hierarchy, nested_sets
 
 
 def brute(parent):
@@ -45,8 +45,11 @@ def test_against_brute_force(spark, parent):
     assert {n: r.root for n, r in got.items()} == root and {n: r.depth for n, r in got.items()} == depth
     if not parent or len(parent) > 100:
         return
-    placed = {r.node: r for r in preorder(tree).collect()}
-    assert set(placed) == set(parent) | set(parent.values())
+    sets = nested_sets(spark.createDataFrame(rows, "node long, parent long, root string"), with_path=True)
+    placed = {r.node: r for r in sets.collect()}
+    assert set(placed) == set(parent) | set(parent.values()) and sorted(r.pre for r in placed.values()) == list(range(len(placed)))
+    pairs = {(r.node, r.ancestor) for r in ancestors(sets, sets.select("node", "pre")).collect()}
+    assert pairs == {(n, a) for n, r in placed.items() for a in r.path[:-1]}
     for node, row in placed.items():
         below = {m for m, o in placed.items() if o.root == row.root and row.pre < o.pre <= row.pre + row.below}
         assert below == {m for m, o in placed.items() if m != node and node in o.path}
