@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id, host_of
@@ -37,30 +37,28 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(rows, fields, names, drift.unified_types(fields, names))
 
 
-def _queue_figures(spark: SparkSession, sf_dir: str, probabilities=(0.5,)) -> tuple[DataFrame, int]:
-    messages = table(spark, sf_dir, "frontier_messages")
-    at = F.unix_micros(F.col("received_at").cast("timestamp"))
-    return hotkeys.key_figures(messages, F.col("queue"), at, probabilities), messages.count()
-
-
-def _host_figures(spark: SparkSession, sf_dir: str, probabilities=(0.5,)) -> tuple[DataFrame, int]:
-    rows = table(spark, sf_dir, "crawled_urls")
-    at = F.floor(F.col("fetched") * 1_000_000)
-    return hotkeys.key_figures(rows, host_of(address_id(F.col("url"))), at, probabilities), rows.count()
+def _keyed(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, Column, Column]]:
+    """Rows, key and value in microseconds of each kind of key."""
+    messages, pages = table(spark, sf_dir, "frontier_messages"), table(spark, sf_dir, "crawled_urls")
+    return {
+        "queue": (messages, F.col("queue"), F.unix_micros(F.col("received_at").cast("timestamp"))),
+        "host": (pages, host_of(address_id(F.col("url"))), F.floor(F.col("fetched") * 1_000_000)),
+    }
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy keys by their histograms; a key with 2% of the rows is a hot one."""
     parts = []
-    for kind, figures in (("queue", _queue_figures), ("host", _host_figures)):
-        held, total = figures(spark, sf_dir)
-        parts.append(hotkeys.heavy_keys(held, total).select(F.lit(kind).alias("key_kind"), F.col("key").alias("key_value")))
+    for kind, (rows, key, value) in _keyed(spark, sf_dir).items():
+        figures = hotkeys.hot_figures(*hotkeys.key_counts(rows, key, value), ())
+        parts.append(hotkeys.heavy_keys(figures, rows.count()).select(F.lit(kind).alias("key_kind"), F.col("key").alias("key_value")))
     return parts[0].union(parts[1])
 
 
 def p6_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for kind, figures in (("queue", _queue_figures), ("host", _host_figures)):
-        held, _ = figures(spark, sf_dir, (0.5, 0.9))
+    for kind, (rows, key, value) in _keyed(spark, sf_dir).items():
+        held = hotkeys.key_figures(rows, key, value, (0.5, 0.9))
         parts.append(
             held.select(
                 F.lit(kind).alias("key_kind"), F.col("key").alias("key_value"), "n_rows",
