@@ -109,18 +109,18 @@ def _join(base: Column, reference: Column) -> Column:
 
 
 def url_tokens(address: Column) -> Column:
-    """The host followed by the segments of the path (a bare ``/`` gives one empty segment)."""
+    """The host followed by the segments of the path without the slashes at its ends; a bare host has one empty segment."""
     host = F.regexp_extract(address, "^([^/?#]*)", 1)
-    path = F.regexp_extract(address, "^[^/?#]*/?([^?#]*)", 1)
-    has_path = F.regexp_extract(address, "^[^/?#]*(/?)", 1) == "/"
-    return F.when(has_path, F.concat(F.array(host), F.split(path, "/"))).otherwise(F.array(host))
+    path = F.regexp_extract(address, "^[^/?#]*([^?#]*)", 1)
+    return F.concat(F.array(host), F.split(F.btrim(path, F.lit("/")), "/"))
 
 
 def query_keys(address: Column) -> Column:
-    """Distinct keys of the query, those with a blank value left out."""
+    """Distinct decoded keys of the query, those with a blank value left out. A percent sign without two hex digits stands for itself."""
     query = F.regexp_extract(address, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "[&;]"), lambda p: p.rlike("^[^=]+=.+"))
-    return F.array_distinct(F.transform(pairs, lambda p: F.regexp_extract(p, "^([^=]*)", 1)))
+    pairs = F.filter(F.split(query, "[&;]"), lambda p: p.rlike("^[^=]*=.+"))
+    key = lambda p: F.url_decode(F.regexp_replace(F.regexp_extract(p, "^([^=]*)", 1), "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.array_distinct(F.transform(pairs, key))
 
 
 def transform_url(url: Column, rules: list[tuple[str, str]]) -> Column:

@@ -169,14 +169,14 @@ WITH log AS (SELECT row_id AS seq, {ID} AS id, original <> 'self' AS redundant F
 
 def _nodes(source: str, columns: str) -> str:
     """Nodes of a source with id, as SQL: paths, the leaf and keys."""
-    tokens = r"CASE WHEN regexp_matches(id, '^[^/?#]*/') THEN string_split(regexp_extract(id, '^([^/?#]*)', 1) || '/' || regexp_extract(id, '^[^/?#]*/([^?#]*)', 1), '/') ELSE [regexp_extract(id, '^([^/?#]*)', 1)] END"
+    tokens = r"list_concat([regexp_extract(id, '^([^/?#]*)', 1)], string_split(trim(regexp_extract(id, '^[^/?#]*([^?#]*)', 1), '/'), '/'))"
     return rf"""
   SELECT {columns}, domain, array_to_string(list_slice(tokens, 1, k), '|') AS node, CASE WHEN k = len(tokens) THEN 'leaf' ELSE 'path' END AS role
   FROM (SELECT {columns}, domain, tokens, unnest(generate_series(1, len(tokens))) AS k FROM (SELECT {columns}, regexp_extract(id, '^([^?/:]*)', 1) AS domain, {tokens} AS tokens FROM {source}) AS t) AS p
   UNION ALL
-  SELECT DISTINCT {columns}, domain, array_to_string(tokens, '|') || '|' || regexp_extract(pair, '^([^=]*)', 1) AS node, 'key' AS role
+  SELECT DISTINCT {columns}, domain, array_to_string(tokens, '|') || '|' || url_decode(replace(regexp_extract(pair, '^([^=]*)', 1), '+', ' ')) AS node, 'key' AS role
   FROM (SELECT {columns}, regexp_extract(id, '^([^?/:]*)', 1) AS domain, {tokens} AS tokens, unnest(string_split(replace(regexp_extract(id, '\?([^#]*)', 1), ';', '&'), '&')) AS pair FROM {source}) AS q
-  WHERE regexp_matches(pair, '^[^=]+=.+')
+  WHERE regexp_matches(pair, '^[^=]*=.+')
 """
 
 

@@ -78,6 +78,30 @@ def test_redundant_paths_and_parameters(spark):
     assert not redundant(spark, [("h/c?k=1", False), ("h/c?k=2", False), *[("h/c?k=3", True)] * 5], "h/c?k=4", **at)
 
 
+def test_redundancy_of_files_and_of_paths_with_plain_inserts(spark):
+    # a path that a plain insert has come to twice gives no support, another one below it does
+    at = dict(path=10, file=20, parameter=2)
+    plain = [("h/one/p1", False)] * 2 + [(f"h/one/p{i}", True) for i in range(2, 12)]
+    assert not redundant(spark, plain, "h/one/p12", **at)
+    more = plain + [(f"h/p{i}/p1", True) for i in range(2, 12)]
+    assert not redundant(spark, more, "h/p12/p1", **at)
+    more += [("h/p8/p1", True)] * 9
+    assert redundant(spark, more, "h/p8/p1", **at) and not redundant(spark, more, "h/p9/p1", **at)
+    # a slash at the end makes no other file; a bare host is a path too
+    at = dict(path=10, file=4, parameter=2)
+    assert redundant(spark, [("h/f/", True), ("h/f", True)] * 2, "h/f//", **at)
+    assert redundant(spark, [("h", True), ("h/", True)] * 2, "h", **at)
+    # keys that are shared, and those that a plain insert came to
+    one = [("h/f?p1=1&p2=2", True)]
+    assert not redundant(spark, one, "h/f?p1=1&p4=4", **at)
+    two = [*one, ("h/f?p1=1&p3=3", True)]
+    assert redundant(spark, two, "h/f?%701=1&p4=4", **at)
+    assert not redundant(spark, [*two, ("h/f?p1=1&p4=4", False)], "h/f?p1=1&p4=4", **at)
+    at = dict(path=50, file=50, parameter=2)
+    pinned = [("h/f?p1=1&p2=1", False)] * 2 + [(f"h/f?p1=1&p2={i}", True) for i in (2, 3, 4)]
+    assert not redundant(spark, pinned, "h/f?p1=1&p2=5", **at)
+
+
 def test_redundancy_as_of_uses_earlier_inserts_only(spark):
     rows = [(f"h/a/p{i}", True) for i in range(5)]
     got = {r.seq: r.redundant for r in redundancy.probe_as_of(log(spark, rows), path=3, file=9, parameter=9).collect()}

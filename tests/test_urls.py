@@ -36,7 +36,9 @@ def test_parts(spark):
     assert one(spark, ["HTTP://H.Test/Xy", "h.TEST"], host_folded_id(F.col("a"))) == ["h.test/Xy", "h.test"]
     assert one(spark, ["h.test/a/?", "h.test//", "h.test/a?b"], urls.storage_key(F.col("a"))) == ["h.test/a", "h.test", "h.test/a?b"]
     assert one(spark, ["a.b.co.uk", "a.b.test", "localhost"], urls.registered_domain(F.col("a"))) == ["b.co.uk", "b.test", "localhost"]
-    assert one(spark, ["h.test/a/b?x=1&y=&x=2", "h.test/", "h.test"], urls.url_tokens(F.col("a")), urls.query_keys(F.col("a"))) == [(["h.test", "a", "b"], ["x"]), (["h.test", ""], []), (["h.test"], [])]
+    assert one(spark, ["h.test/a/b?x=1&y=&x=2", "h.test/", "h.test"], urls.url_tokens(F.col("a")), urls.query_keys(F.col("a"))) == [(["h.test", "a", "b"], ["x"]), (["h.test", ""], []), (["h.test", ""], [])]
+    found = one(spark, ["h.test//a/b//", "h.test:80/a?a%20b=1&a+b=2;%zz=3&=4&c"], urls.url_tokens(F.col("a")), urls.query_keys(F.col("a")))
+    assert found == [(["h.test", "a", "b"], []), (["h.test:80", "a"], ["a b", "%zz", ""])]
 
 
 def test_parameter_rules(spark):
