@@ -15,7 +15,7 @@ from skein.plans.outcomes import _MESSAGES
 from skein.plans.urls import DOMAIN, ID
 from skein.runtime import table
 from skein.streaming import windows as S
-from skein.streaming.crawl import run_crawl
+from skein.streaming.crawl import ROUTED, run_crawl
 
 MACHINES = [("i-0", "m3.medium", "running", 0.067), ("i-1", "m1.medium", "terminated", 0.087), ("i-2", "m1.medium", "pending", 0.087), ("i-3", "c3.large", "running", 0.105), ("i-4", "m3.medium", "shutting-down", 0.067)]
 BIDS = [("s-0", "open", 0.02), ("s-1", "active", 0.03), ("s-2", "closed", 0.9)]
@@ -23,13 +23,13 @@ IMAGES = [("ami-1", 20140101), ("ami-3", 20140301), ("ami-2", 20140201)]
 
 
 def stream_crawl_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of all messages of the frontier, handled as a stream."""
+    """Outcomes of all messages of the frontier, handled as a stream; an id whose fetch failed is tried again when it is delivered again."""
     messages = S.open_stream(spark, f"{sf_dir}/frontier_messages.parquet", ["delivery_id", "frontier_message"])
     columns = ["url", "http_status"]
     answers = table(spark, sf_dir, "crawled_urls").select(columns).union(table(spark, sf_dir, "redirected_urls").select(columns))
     bodies = table(spark, sf_dir, "crawled_content").select(F.col("s3_key").alias("key"), "content_id")
     folder = run_crawl(messages, answers.select(address_id(F.col("url")).alias("id"), "http_status"), bodies, SCOPE, S.run_batches)
-    routed = spark.read.schema("id string, url string, outcome string, reason long, content_id long, batch long").parquet(f"{folder}/routed")
+    routed = spark.read.schema(ROUTED).parquet(f"{folder}/routed").filter("outcome <> 'dead'")
     return routed.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"), F.count("content_id").alias("n_stored"))
 
 
@@ -85,21 +85,24 @@ _MACHINES = ", ".join(str(m) for m in MACHINES)
 _LIVE = f"(SELECT * FROM (VALUES {_MACHINES}) AS v(instance, kind, state, price) WHERE state NOT IN ('terminated', 'shutting-down'))"
 _CODES = "300, 301, 302, 303, 307, 308"
 _HEADER = "(SELECT row_id, max(CASE WHEN lower(e.key) = '{0}' THEN e.value END) AS v FROM (SELECT row_id, unnest(map_entries(response_headers)) AS e FROM crawled_urls) AS h GROUP BY row_id)"
+_BARE = "regexp_replace(u.url, $$^[a-zA-Z][a-zA-Z0-9+.-]*://$$, $$$$)"
+_CLASS = scope_sql("u.url", _BARE, f"regexp_extract({_BARE}, $$^([^?/:]*)$$, 1)")
 
 SQL = {
     "stream_crawl_step": f"""
-WITH m AS (SELECT t->>'$.id' AS id, min(delivery_id) AS d FROM ({_MESSAGES}) AS x WHERE t IS NOT NULL AND t->>'$.id' IS NOT NULL GROUP BY 1),
-u AS (SELECT m.id, x.t->>'$.url' AS url, regexp_extract(m.id, '^([^?/:]*)', 1) AS domain FROM m JOIN ({_MESSAGES}) AS x ON m.d = x.delivery_id),
+WITH u AS (SELECT t->>'$.id' AS id, t->>'$.url' AS url, regexp_extract(t->>'$.id', '^([^?/:]*)', 1) AS domain, delivery_id FROM ({_MESSAGES}) AS x WHERE t IS NOT NULL AND t->>'$.id' IS NOT NULL),
 a AS (SELECT id, max(http_status) AS s FROM (SELECT {ID} AS id, http_status FROM crawled_urls UNION ALL SELECT {ID} AS id, http_status FROM redirected_urls) AS r GROUP BY id),
 b AS (SELECT s3_key, max(content_id) AS c FROM crawled_content GROUP BY s3_key),
-t AS (SELECT id, max(n) AS most, sum(n) AS depth FROM (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(string_split(regexp_extract(id, '^[^/?#]*/([^?#]*)', 1), '/')) AS g FROM u) AS q WHERE g <> '' GROUP BY id, g) AS h GROUP BY id),
+t AS (SELECT id, max(n) AS most, sum(n) AS depth FROM (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(string_split(regexp_extract(id, '^[^/?#]*/([^?#]*)', 1), '/')) AS g FROM (SELECT DISTINCT id FROM u) AS d) AS q WHERE g <> '' GROUP BY id, g) AS h GROUP BY id),
 r AS (
-  SELECT u.id, a.s, b.c, CASE WHEN {scope_sql('u.url', 'regexp_replace(u.url, $$^[a-zA-Z][a-zA-Z0-9+.-]*://$$, $$$$)', 'regexp_extract(regexp_replace(u.url, $$^[a-zA-Z][a-zA-Z0-9+.-]*://$$, $$$$), $$^([^?/:]*)$$, 1)')} < 1
-    THEN {scope_sql('u.url', 'regexp_replace(u.url, $$^[a-zA-Z][a-zA-Z0-9+.-]*://$$, $$$$)', 'regexp_extract(regexp_replace(u.url, $$^[a-zA-Z][a-zA-Z0-9+.-]*://$$, $$$$), $$^([^?/:]*)$$, 1)')}
-    WHEN t.most >= 3 OR t.depth > 20 THEN -8 ELSE 1 END AS reason
-  FROM u LEFT JOIN a ON u.id = a.id LEFT JOIN b ON rtrim(u.id, '?/') = b.s3_key LEFT JOIN t ON u.id = t.id)
-SELECT CASE WHEN reason < 0 THEN 'skipped' WHEN s IN ({_CODES}) THEN 'redirected' WHEN s = 410 THEN 'failed' WHEN s IS NULL OR s >= 400 THEN 'requeue' ELSE 'crawled' END AS outcome,
-  CAST(reason AS BIGINT) AS reason, CAST(count(*) AS BIGINT) AS n, CAST(count(c) AS BIGINT) AS n_stored FROM r GROUP BY 1, 2""",
+  SELECT u.id, u.delivery_id, a.s, b.c, CASE WHEN {_CLASS} < 1 THEN {_CLASS} WHEN t.most >= 3 OR t.depth > 20 THEN -8 ELSE 1 END AS reason
+  FROM u LEFT JOIN a ON u.id = a.id LEFT JOIN b ON rtrim(u.id, '?/') = b.s3_key LEFT JOIN t ON u.id = t.id),
+o AS (
+  SELECT id, reason, c, row_number() OVER w AS rn,
+    CASE WHEN reason < 0 THEN 'skipped' WHEN s IN ({_CODES}) THEN 'redirected' WHEN s = 410 THEN 'failed' WHEN s IS NULL OR s >= 400 THEN 'requeue' ELSE 'crawled' END AS outcome
+  FROM r WINDOW w AS (PARTITION BY id ORDER BY delivery_id))
+SELECT CASE WHEN o.rn = 2 AND o.outcome = 'requeue' THEN 'failed' ELSE o.outcome END AS outcome, CAST(o.reason AS BIGINT) AS reason, CAST(count(*) AS BIGINT) AS n, CAST(count(o.c) AS BIGINT) AS n_stored
+FROM o LEFT JOIN o AS before ON o.id = before.id AND before.rn = 1 WHERE o.rn = 1 OR (o.rn = 2 AND before.outcome = 'requeue') GROUP BY 1, 2""",
     "stored_content": f"""
 SELECT key, original, content_type FROM (
   SELECT rtrim({ID}, '?/') AS key, rtrim(coalesce(original, 'self'), '?/') AS original, h.v AS content_type,

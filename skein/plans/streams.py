@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.ids import address_id, message_key
 from skein.operators import redundancy as R
 from skein.operators.hierarchy import address_links, depths
 from skein.plans.content import SQL as CONTENT_SQL
 from skein.plans.urls import ID
-from skein.runtime import table
+from skein.runtime import fresh_dir, table
 from skein.streaming import windows as S
 
+SLICES = 6  # runs in which the deliveries of the late query come in
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.open_stream(spark, f"{sf_dir}/events.parquet", ["event_id", "ts", "user_id", "event_type"], "ts")
@@ -39,19 +42,16 @@ def stream_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_late_side_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries split by whether they are older than an hour when their batch comes in; the batch has the time of its newest row."""
-    rows = S.open_stream(spark, f"{sf_dir}/frontier_messages.parquet", ["delivery_id", "received_at", "batch_no"], "received_at")
-    times = table(spark, sf_dir, "frontier_messages").groupBy("batch_no").agg(F.max("received_at").cast("timestamp").alias("arrived"))
-
-    def work(batch: DataFrame, number: int, folder: str) -> None:
-        timed = batch.join(times, "batch_no")
-        on_time, late = S.split_late(timed, "received_at", "arrived", "1 hour")
-        timed.filter(on_time).select("delivery_id").write.mode("overwrite").parquet(f"{folder}/main/batch={number}")
-        timed.filter(late).select("delivery_id").write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
-
-    folder = S.run_batches(rows, "late", work)
-    parts = [spark.read.schema("delivery_id long, batch long").parquet(f"{folder}/{part}").select("delivery_id", F.lit(part).alias("side")) for part in ("main", "late")]
-    return parts[0].union(parts[1])
+    """Deliveries split by the watermark, an hour behind the newest time that came before; they come in SLICES runs of one stream, in the order of their batches."""
+    rows = table(spark, sf_dir, "frontier_messages").select("delivery_id", F.col("received_at").cast("timestamp").alias("received_at"), "batch_no")
+    last = rows.agg(F.max("batch_no")).first()[0] or 0
+    root = fresh_dir(spark, "late")
+    sliced = rows.withColumn("slice", F.floor(F.coalesce("batch_no", F.lit(0)) * SLICES / (last + 1)).cast("int"))
+    for i in range(SLICES):
+        sliced.filter(F.col("slice") == i).drop("batch_no", "slice").write.mode("append").parquet(f"{root}/in")
+        stream = S.read_stream(spark, f"{root}/in", T.StructType.fromDDL("delivery_id long, received_at timestamp"), 1 << 60)
+        S.continue_to_end(S.split_late(stream, "delivery_id", "received_at", "1 hour"), root)
+    return spark.read.schema("delivery_id long, side string").parquet(f"{root}/out")
 
 
 def stream_redundancy_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +77,6 @@ def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stream_crawl_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reached from those without a parent, generation by generation (by name of the page's earliest row).
-
-    As in its SQL, only the seeds and the first six generations; ``stream_crawl_generations_all`` has every generation.
-    """
-    links, seeds = _crawl(spark, sf_dir)
-    edges = links.select(F.col("parent").alias("referrer_id"), F.col("node").alias("id"))
-    reached = S.crawl_generations(spark, edges, seeds.select(F.col("node").alias("id")), _GENERATIONS)
-    return reached.groupBy("generation").agg(F.count(F.lit(1)).alias("n")).withColumn("generation", F.col("generation").cast("long"))
-
-
-def stream_crawl_generations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages reached from those without a parent by generation, down to the last one.
 
     A page has one parent, so its generation is its depth, which doubling finds in a number of rounds that grows with
@@ -109,12 +98,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_rate_tumbling, stream_rate_sliding, stream_consumer_sessions, stream_seen_dedup, stream_late_side_output, stream_redundancy_state, stream_crawl_generations,
-        stream_crawl_generations_all, stream_message_keys,
+        stream_message_keys,
     )
 }
 
 _WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES FROM events)"
-_GENERATIONS = 6
 
 SQL = {
     "stream_rate_tumbling": f"""
@@ -128,8 +116,10 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 2 HOURS <= {_WATERMARK}""",
     "stream_seen_dedup": f"SELECT DISTINCT {ID} AS id FROM seen_urls",
-    "stream_late_side_output": """
-SELECT delivery_id, CASE WHEN coalesce(received_at < max(received_at) OVER (PARTITION BY batch_no) - INTERVAL 1 HOUR, false) THEN 'late' ELSE 'main' END AS side FROM frontier_messages""",
+    "stream_late_side_output": f"""
+WITH r AS (SELECT delivery_id, received_at, CAST(floor(coalesce(batch_no, 0) * {SLICES} / ((SELECT coalesce(max(batch_no), 0) FROM frontier_messages) + 1)) AS INT) AS s FROM frontier_messages),
+w AS (SELECT x.s, (SELECT max(date_trunc('millisecond', received_at)) FROM r WHERE r.s < x.s) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT s FROM r) AS x)
+SELECT delivery_id, CASE WHEN coalesce(received_at < mark, false) THEN 'late' ELSE 'main' END AS side FROM r JOIN w ON r.s = w.s""",
     "stream_redundancy_state": CONTENT_SQL["redundancy_support"],
     "stream_message_keys": r"""
 SELECT queue, CAST(count(*) AS BIGINT) AS n_messages FROM (
@@ -140,13 +130,6 @@ WITH RECURSIVE rows_ AS (SELECT row_id, {ID} AS id, referrer_id FROM crawled_url
 node AS (SELECT id, min(row_id) AS node, arg_min(referrer_id, row_id) FILTER (WHERE referrer_id IS NOT NULL) AS ref FROM rows_ GROUP BY id),
 sent AS (SELECT regexp_replace(redirects_to, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id, arg_min({ID}, row_id) AS source FROM redirected_urls WHERE redirects_to IS NOT NULL GROUP BY 1),
 parent AS (SELECT n.node, p.node AS parent FROM node n LEFT JOIN sent s ON n.id = s.id LEFT JOIN node p ON p.id = coalesce(s.source, n.ref)),
-walk AS (SELECT node, 0 AS generation FROM parent WHERE parent IS NULL UNION ALL SELECT p.node, w.generation + 1 FROM walk w JOIN parent p ON p.parent = w.node WHERE w.generation < {_GENERATIONS})
-SELECT CAST(generation AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY generation""",
-    "stream_crawl_generations_all": rf"""
-WITH RECURSIVE rows_ AS (SELECT row_id, {ID} AS id, referrer_id FROM crawled_urls UNION ALL SELECT row_id, {ID} AS id, referrer_id FROM redirected_urls),
-node AS (SELECT id, min(row_id) AS node, arg_min(referrer_id, row_id) FILTER (WHERE referrer_id IS NOT NULL) AS ref FROM rows_ GROUP BY id),
-sent AS (SELECT regexp_replace(redirects_to, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id, arg_min({ID}, row_id) AS source FROM redirected_urls WHERE redirects_to IS NOT NULL GROUP BY 1),
-parent AS (SELECT n.node, p.node AS parent FROM node n LEFT JOIN sent s ON n.id = s.id LEFT JOIN node p ON p.id = coalesce(s.source, n.ref)),
 walk AS (SELECT node, 0 AS generation FROM parent WHERE parent IS NULL UNION ALL SELECT p.node, w.generation + 1 FROM walk w JOIN parent p ON p.parent = w.node)
 SELECT CAST(generation AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n FROM walk GROUP BY generation""",
 }

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from skein.runtime import fresh_dir, ship_package
+from skein.runtime import fresh_dir, ship_package, stage
 from skein.streaming.dedup import read_stream
 
 BYTES_PER_TRIGGER = 64 << 20
@@ -23,15 +26,20 @@ def open_stream(spark: SparkSession, path: str, columns: list[str], at: str | No
     return rows.withColumn(at, F.col(at).cast("timestamp")) if at else rows
 
 
-def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, appending to a folder, and read what it wrote."""
-    spark = stream.sparkSession
-    root = fresh_dir(spark, purpose)
+def continue_to_end(stream: DataFrame, root: str, mode: str = "append") -> None:
+    """Run a stream over all that is there and has not been read, appending to root/out."""
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_to_end(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, appending to a folder, and read what it wrote."""
+    spark = stream.sparkSession
+    root = fresh_dir(spark, purpose)
+    continue_to_end(stream, root, mode)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -64,31 +72,44 @@ def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def split_late(stream: DataFrame, at: str, arrived: str, allowed: str) -> tuple[Column, Column]:
-    """Conditions on a row with the time it arrived: on time, and late by more than ``allowed``."""
-    late = F.col(at) < F.col(arrived) - F.expr(f"interval {allowed}")
-    return ~F.coalesce(late, F.lit(False)), F.coalesce(late, F.lit(False))
+def split_late(stream: DataFrame, key: str, at: str, allowed: str, pages: int = 64) -> DataFrame:
+    """(key, side): main, or late for rows whose event time is before the watermark of their micro-batch.
+
+    The watermark is the newest event time of the batches before, less ``allowed``; the first batch has none. Rows
+    without an event time are on time. No state is kept but for the watermark; pages only spread the rows.
+    """
+
+    def side(page, batches, state):
+        watermark = state.getCurrentWatermarkMs()
+        for batch in batches:
+            late = (batch["at_us"] < watermark * 1000) if watermark > 0 else batch["at_us"] != batch["at_us"]
+            yield pd.DataFrame({key: batch[key], "side": np.where(late, "late", "main")})
+
+    micros = F.coalesce(F.unix_micros(at), F.lit(np.iinfo(np.int64).max)).alias("at_us")
+    rows = stream.withWatermark(at, allowed).select(F.pmod(F.xxhash64(key), F.lit(pages)).alias("page"), key, at, micros)
+    kind = dict(stream.dtypes)[key]
+    return rows.groupBy("page").applyInPandasWithState(side, f"{key} {kind}, side string", "none int", "append", GroupStateTimeout.NoTimeout)
 
 
 def crawl_generations(spark: SparkSession, links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(id, generation): what a crawl from the seeds reaches over (referrer_id, id), generation by generation.
 
     Each round is one batch: the links of the newest pages, less what is seen. It ends when the frontier is empty, or
-    after ``most`` rounds where a caller wants the first generations only. Every generation is checkpointed, so a lost
+    after ``most`` rounds where a caller wants the first generations only. Every generation is written, so a lost
     executor costs one round at most; what is found is put together every COMPACT rounds, so that plans stay short.
     """
-    edges = links.select("referrer_id", "id").distinct().checkpoint()
-    found = seeds.select("id").distinct().withColumn("generation", F.lit(0)).checkpoint()
+    edges = stage(links.select("referrer_id", "id").distinct(), "edges")
+    found = stage(seeds.select("id").distinct().withColumn("generation", F.lit(0)), "found")
     newest, generation = found, 0
     while most is None or generation < most:
         generation += 1
         next_ids = edges.join(newest.select(F.col("id").alias("referrer_id")), "referrer_id").select("id").distinct()
-        newest = next_ids.join(found.select("id"), "id", "left_anti").withColumn("generation", F.lit(generation)).checkpoint()
+        newest = stage(next_ids.join(found.select("id"), "id", "left_anti").withColumn("generation", F.lit(generation)), "newest")
         if newest.isEmpty():
             break
         found = found.union(newest)
         if generation % COMPACT == 0:
-            found = found.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
+            found = stage(found.coalesce(spark.sparkContext.defaultParallelism), "found")
     return found
 
 

@@ -161,6 +161,7 @@ def test_redirect_chains(spark):
     chain = [(f"n{i}", f"n{i + 1}") for i in range(25)] + [("s", "s"), ("a", "b"), ("b", "a")]
     got = {r.id: r for r in outcomes.redirect_chains(spark.createDataFrame(chain, "id string, target string")).collect()}
     assert (got["n20"].final_id, got["n20"].hops) == ("n25", 5) and (got["n0"].final_id, got["n0"].hops) == ("n20", 20)
+    assert got["n0"].too_many and got["n4"].too_many and not got["n5"].too_many and (got["n5"].final_id, got["n5"].hops) == ("n25", 20)
     assert got["s"].looped and got["s"].hops == 1 and got["a"].looped and got["a"].hops == 2 and len(got) == 28
 
 
@@ -236,8 +237,43 @@ def test_crawl_step_and_its_stream(spark, tmp_path):
         spark.createDataFrame(part, messages.schema).coalesce(1).write.mode("append").parquet(path)
     stream = windows.read_stream(spark, path, messages.schema, 1)
     folder = run_crawl(stream, crawled, bodies, scope, windows.run_batches)
-    got = [(r.id, r.outcome) for r in spark.read.parquet(f"{folder}/routed").collect()]
-    assert sorted(got) == sorted((i, o) for i, (o, _) in want.items())
+    got = [(r.id, r.outcome, r.delivery_id) for r in spark.read.parquet(f"{folder}/routed").collect()]
+    alive = sorted((i, o) for i, o, _ in got if o != "dead")
+    assert alive == sorted((i, o) for i, (o, _) in want.items()) and sorted(d for *_, o, d in got if o == "dead") == [4, 7]
+
+
+def test_a_failed_fetch_is_tried_again_in_a_later_batch(spark, tmp_path):
+    import base64
+    import json
+
+    from skein.streaming import windows
+    from skein.streaming.crawl import run_crawl
+
+    pack = lambda i: base64.b64encode(json.dumps({"url": f"http://h/{i}", "id": f"h/{i}"}).encode()).decode()
+    parts = [[(1, "slow"), (2, "ok"), (3, "late")], [(4, "slow"), (5, "slow"), (6, "ok")], [(7, "late"), (8, "slow")]]
+    path, schema = str(tmp_path / "m.parquet"), "delivery_id long, frontier_message string"
+    for part in parts:
+        spark.createDataFrame([(d, pack(i)) for d, i in part], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = windows.read_stream(spark, path, spark.read.parquet(path).schema, 1)
+    answers = spark.createDataFrame([("h/slow", 503), ("h/ok", 200), ("h/late", 500)], "id string, http_status int")
+    folder = run_crawl(stream, answers, spark.createDataFrame([], "key string, content_id long"), Scope(include_domains=("h",)), windows.run_batches, pages=2)
+    got = {(r.id, r.outcome, r.delivery_id) for r in spark.read.parquet(f"{folder}/routed").collect()}
+    assert got == {("h/slow", "requeue", 1), ("h/ok", "crawled", 2), ("h/late", "requeue", 3), ("h/slow", "failed", 4), ("h/late", "failed", 7)}
+
+
+def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from skein.streaming import windows
+
+    at = lambda m: None if m is None else dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m)
+    parts = [[(1, 600), (2, 0)], [(3, 539), (4, 541), (5, None), (6, 900)], [(7, 839), (8, 840)]]
+    schema = T.StructType.fromDDL("k long, at timestamp")
+    for part in parts:
+        spark.createDataFrame([(k, at(m)) for k, m in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        windows.continue_to_end(windows.split_late(windows.read_stream(spark, f"{tmp_path}/in", schema, 1 << 60), "k", "at", "1 hour", 3), str(tmp_path))
+    got = {r.k: r.side for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {k: "late" if k in (3, 7) else "main" for k in range(1, 9)}
 
 
 def test_fetch_seam(spark):
