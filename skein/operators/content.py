@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.urls import storage_key
 from skein.runtime import stage
@@ -197,9 +198,25 @@ def request_headers(referrer: Column, modified: Column, etag: Column) -> Column:
 
 
 def decode_text(body: Column, charset_name: Column) -> Column:
-    """Text of a body in the charset it names (UTF-8 if none) where that is UTF-8 and the bytes are valid, else Latin-1."""
-    utf8 = F.coalesce(charset_name, F.lit("utf-8")).isin("utf-8", "utf8", "us-ascii") & F.is_valid_utf8(body.cast("string"))
-    return F.when(utf8, F.decode(body, "utf-8")).otherwise(F.decode(body, "iso-8859-1"))
+    """Text of a body in the charset it names (UTF-8 if none); one that is not known, or that the bytes do not fit, is read as Latin-1.
+
+    UTF-8 and Latin-1 are read in the JVM, any other charset in Arrow batches.
+    """
+    name = F.lower(F.coalesce(charset_name, F.lit("utf-8")))
+    utf8, latin = name.isin("utf-8", "utf8", "us-ascii", "ascii"), name.isin("iso-8859-1", "latin-1", "latin1")
+    other = _decoded(F.when(~utf8 & ~latin, body), name)
+    return F.when(utf8 & F.is_valid_utf8(body.cast("string")), F.decode(body, "utf-8")).otherwise(F.coalesce(other, F.decode(body, "iso-8859-1")))
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(body: pd.Series, name: pd.Series) -> pd.Series:
+    def read(data, charset):
+        try:
+            return None if data is None else bytes(data).decode(charset)
+        except (LookupError, UnicodeError, ValueError):
+            return None
+
+    return pd.Series([read(b, n) for b, n in zip(body, name)], dtype=object)
 
 
 def pack_bodies(rows: DataFrame, codec: str = "gzip") -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,17 +64,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one is made only where the session names none."""
+    """The folder all executors share, as the session names it. Only a local session, whose one machine is all there is, gets a temporary one where it names none."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder among those of this application, which ``clean_up`` deletes."""
-    return f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+    if _scopes and purpose != "package":
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged within the block at its end; what is computed there must be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean_up(spark: SparkSession) -> None:
