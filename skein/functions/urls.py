@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.ids import SCHEME, address_id, host_of
 
-# Suffixes of two labels under which names are registered. A fuller table can be given as a parameter.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "example.net")
+# Suffixes of two labels under which names are registered. A full table is read by ``read_suffixes``.
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,13 +65,31 @@ def domain(address: Column) -> Column:
     return host_of(address)
 
 
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """The rules of a suffix table: a line each, blank lines and those that begin with // left out."""
+    with open(path, encoding="utf-8") as lines:
+        rules = (line.split()[0].lower() for line in lines if line.strip() and not line.startswith("//"))
+        return tuple(dict.fromkeys(rules))
+
+
 def registered_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    """The last two labels, or three where the last two are a suffix."""
+    """The suffix and the label before it; a host that is a suffix stays whole.
+
+    ``suffixes`` are rules of any number of labels. ``*.x`` stands for each label before x, ``!a.x`` makes an exception
+    to that; the longest rule counts, the last label where there is none.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(F.lit(1), n - 1), F.lit(2)), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.lit(1), n - 2), F.lit(3)), ".")
-    return F.when(two.isin(*suffixes), three).otherwise(two)
+    last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
+    plain = [s for s in suffixes if s[0] not in "*!"]
+    wild, kept = [s[2:] for s in suffixes if s.startswith("*.")], [s[1:] for s in suffixes if s.startswith("!")]
+    none = F.array().cast("array<int>")
+    where = lambda test: F.filter(F.sequence(F.lit(1), n), test)
+    found = where(lambda k: last(k).isin(*plain)) if plain else none
+    found = F.concat(found, where(lambda k: (k > 1) & last(F.greatest(F.lit(1), k - 1)).isin(*wild))) if wild else found
+    longest = F.coalesce(F.array_max(found), F.lit(1))
+    longest = F.coalesce(F.array_max(where(lambda k: last(k).isin(*kept))) - 1, longest) if kept else longest
+    return last(F.least(n, longest + 1))
 
 
 def storage_key(address: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
 from skein.functions.urls import canonical_url, join_url
+from skein.runtime import stage
 from skein.schemas import MAX_ATTEMPTS, MAX_REDIRECTS, MAX_TEXT, REDIRECT_STATUSES, URL_CLASSES
 
 
@@ -72,19 +73,21 @@ def log_rows(events: DataFrame) -> DataFrame:
 
 
 def redirect_chains(redirects: DataFrame, most: int = MAX_REDIRECTS) -> DataFrame:
-    """(id, final_id, hops, looped): where the redirects of each id lead, at most ``most`` hops.
+    """(id, final_id, hops, looped, too_many): where the redirects of each id lead, at most ``most`` hops.
 
-    ``redirects`` is (id, target), one row per id. Chains end at an id that does not redirect, at the limit or where
-    they come back to their own start. Rounds of one join each; only chains that still move are joined.
+    ``redirects`` is (id, target), one row per id. Chains end at an id that does not redirect, at the limit (too_many, if
+    the chain goes on there) or where they come back to their own start. Each round doubles the steps that a row holds,
+    up to the limit; rows that have come to an end are not joined again.
     """
-    edges = redirects.select(F.col("id").alias("final_id"), F.col("target").alias("next"))
-    moving = redirects.select("id", F.col("target").alias("final_id"), F.lit(1).alias("hops"))
-    done = None
-    for _ in range(most - 1):
-        step = moving.join(edges, "final_id", "left")
-        over = step.filter("next is null or id = final_id").select("id", "final_id", "hops")
-        done = over if done is None else done.union(over)
-        moving = step.filter("next is not null and id <> final_id").select("id", F.col("next").alias("final_id"), (F.col("hops") + 1).alias("hops")).checkpoint()
-        if moving.isEmpty():
-            break
-    return done.union(moving.select("id", "final_id", "hops")).withColumn("looped", F.col("id") == F.col("final_id"))
+    state = redirects.select("id", F.array("target").alias("steps"), F.lit(True).alias("open"))
+    reach = 1
+    while reach <= most:
+        ahead = state.select(F.col("id").alias("last"), F.col("steps").alias("more"))
+        joined = state.filter("open").withColumn("last", F.element_at("steps", -1)).join(ahead, "last", "left")
+        going = joined.select("id", F.concat("steps", F.coalesce("more", F.array().cast("array<string>"))).alias("steps"), F.col("more").isNotNull().alias("open"))
+        state = stage(state.filter("not open").unionByName(going), "chains")
+        reach *= 2
+    back = F.array_position(F.slice("steps", 1, most), F.col("id"))
+    hops = F.when(back > 0, back).otherwise(F.least(F.size("steps"), F.lit(most)))
+    ended = state.select("id", "steps", hops.cast("int").alias("hops"), (back > 0).alias("looped"))
+    return ended.select("id", F.element_at("steps", F.col("hops")).alias("final_id"), "hops", "looped", (~F.col("looped") & (F.size("steps") > most)).alias("too_many"))

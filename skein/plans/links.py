@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.config import Scope
-from skein.functions.ids import address_id, host_of
+from skein.functions.ids import address_id, host_folded_id, host_of
 from skein.functions.urls import canonical_url, rooted
 from skein.operators import admission, extract, jobs
 from skein.plans.urls import DOMAIN, ID
@@ -143,8 +143,8 @@ def spider_trap_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "seen_urls").select(F.lower(address_id(F.col("url"))).alias("id")).distinct()
-    return _ids(spark, sf_dir).withColumn("id", F.lower("id")).join(seen, "id", "left_anti").select("row_id")
+    seen = table(spark, sf_dir, "seen_urls").select(host_folded_id(F.col("url")).alias("id")).distinct()
+    return _ids(spark, sf_dir).withColumn("id", host_folded_id(F.col("url"))).join(seen, "id", "left_anti").select("row_id")
 
 
 def seen_rebuild_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,6 +236,8 @@ GROUP BY {key}
 
 
 _SEGMENTS = f"SELECT row_id, unnest(string_split(regexp_extract({ID}, '^[^/?#]*/([^?#]*)', 1), '/')) AS s FROM crawled_urls"
+_FOLDED = f"lower({DOMAIN}) || substr({ID}, length({DOMAIN}) + 1)"
+
 SQL = {
     "extract_links": f"SELECT page_id, page_url, value, link, CAST(count(*) AS BIGINT) AS n FROM ({_LINKS}) AS l GROUP BY ALL",
     "extract_links_distinct": f"SELECT page_id, CAST(count(*) AS BIGINT) AS n_links FROM (SELECT DISTINCT page_id, id FROM ({_EDGES}) AS e) AS d GROUP BY page_id",
@@ -275,7 +277,7 @@ SELECT row_id, CAST(n_robot AS BIGINT) AS n_robot, CAST(n_google AS BIGINT) AS n
 SELECT c.row_id, coalesce(t.n > 4 OR t.most >= 2, false) AS trap FROM crawled_urls c LEFT JOIN (
   SELECT row_id, sum(n) AS n, max(n) AS most FROM (SELECT row_id, s, count(*) AS n FROM ({_SEGMENTS}) AS g WHERE s <> '' GROUP BY row_id, s) AS h GROUP BY row_id) AS t
 ON c.row_id = t.row_id""",
-    "seen_anti_join": f"SELECT row_id FROM crawled_urls WHERE lower({ID}) NOT IN (SELECT lower({ID}) FROM seen_urls)",
+    "seen_anti_join": f"SELECT row_id FROM crawled_urls WHERE {_FOLDED} NOT IN (SELECT {_FOLDED} FROM seen_urls)",
     "seen_rebuild_union": " UNION ".join(f"SELECT {ID} AS id FROM {t}" for t in ("crawled_urls", "redirected_urls", "seen_urls")),
     "frontier_admission": f"""
 WITH l AS (SELECT id, min(link) AS link, regexp_extract(id, '^([^?/:]*)', 1) AS domain FROM ({_EDGES}) AS e GROUP BY id),

@@ -51,7 +51,7 @@ def retry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirect_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.redirect_chains(_edges(spark, sf_dir)).select("id", "final_id", F.col("hops").cast("long").alias("hops"), "looped")
+    return O.redirect_chains(_edges(spark, sf_dir)).select("id", "final_id", F.col("hops").cast("long").alias("hops"), "looped", "too_many")
 
 
 def redirect_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,8 @@ WITH RECURSIVE edges AS (
 chain AS (
   SELECT id, target AS final_id, 1 AS hops FROM edges
   UNION ALL SELECT c.id, e.target, c.hops + 1 FROM chain c JOIN edges e ON c.final_id = e.id WHERE c.hops < 20 AND c.id <> c.final_id)
-SELECT id, final_id, CAST(hops AS BIGINT) AS hops, id = final_id AS looped FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM chain) AS x WHERE rn = 1""",
+SELECT id, final_id, CAST(hops AS BIGINT) AS hops, id = final_id AS looped, hops = 20 AND id <> final_id AND final_id IN (SELECT id FROM edges) AS too_many
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM chain) AS x WHERE rn = 1""",
     "redirect_actions": f"""
 WITH r AS (
   SELECT row_id, url, http_status, (SELECT max(e.value) FROM (SELECT unnest(map_entries(response_headers)) AS e) AS h WHERE lower(e.key) = 'location') AS location FROM redirected_urls),

@@ -101,15 +101,11 @@ SELECT host, n, CASE WHEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) IN ({_SUFF
 WITH a AS (SELECT row_id, {ID} AS id FROM crawled_urls),
 k AS (
   SELECT row_id, string_agg(k, '|' ORDER BY k) AS query_keys FROM (
-    SELECT DISTINCT row_id, regexp_extract(pair, '^([^=]*)', 1) AS k
+    SELECT DISTINCT row_id, url_decode(replace(regexp_extract(pair, '^([^=]*)', 1), '+', ' ')) AS k
     FROM (SELECT row_id, unnest(string_split(replace(regexp_extract(id, '\?([^#]*)', 1), ';', '&'), '&')) AS pair FROM a) AS pairs
-    WHERE regexp_matches(pair, '^[^=]+=.+')) AS keys GROUP BY row_id)
-SELECT a.row_id,
-  CASE WHEN regexp_matches(id, '^[^/?#]*/') THEN regexp_extract(id, '^([^/?#]*)', 1) || '|' || replace(regexp_extract(id, '^[^/?#]*/([^?#]*)', 1), '/', '|')
-       ELSE regexp_extract(id, '^([^/?#]*)', 1) END AS tokens,
-  coalesce(k.query_keys, '') AS query_keys
-FROM a LEFT JOIN k ON a.row_id = k.row_id
-""",
+    WHERE regexp_matches(pair, '^[^=]*=.+')) AS keys GROUP BY row_id)
+SELECT a.row_id, regexp_extract(id, '^([^/?#]*)', 1) || '|' || replace(trim(regexp_extract(id, '^[^/?#]*([^?#]*)', 1), '/'), '/', '|') AS tokens,
+  CASE WHEN id IS NOT NULL THEN coalesce(query_keys, '') END AS query_keys FROM a LEFT JOIN k ON a.row_id = k.row_id""",
     "url_transform_chain": r"""
 SELECT row_id, t AS transformed, t <> url AS applied FROM (
   SELECT row_id, url, regexp_replace(regexp_replace(regexp_replace(url, '(?i)(\.pdf[^?]*)\?.*', '\1', 'g'), '(?i)/caf%c3%a9-', '/cafe-', 'g'), '(?i)\.php(\?|$)', '.html\1', 'g') AS t

@@ -30,12 +30,17 @@ def test_reference_resolution_of_the_rfc(spark):
     assert one(spark, [(base, r) for r in cases], urls.join_url(F.col("a"), F.col("b"))) == list(cases.values())
 
 
-def test_parts(spark):
+def test_parts(spark, tmp_path):
     address = address_id(F.col("a"))
     assert one(spark, ["https://H.test:8/x?y", "h.test?z", None], host_of(address)) == ["H.test", "h.test", None]
     assert one(spark, ["HTTP://H.Test/Xy", "h.TEST"], host_folded_id(F.col("a"))) == ["h.test/Xy", "h.test"]
     assert one(spark, ["h.test/a/?", "h.test//", "h.test/a?b"], urls.storage_key(F.col("a"))) == ["h.test/a", "h.test", "h.test/a?b"]
     assert one(spark, ["a.b.co.uk", "a.b.test", "localhost"], urls.registered_domain(F.col("a"))) == ["b.co.uk", "b.test", "localhost"]
+    table = tmp_path / "suffixes"
+    table.write_text("// a table\n\nuk\nco.uk\n*.ck\n!www.ck\nk12.ma.us  x\n")
+    hosts = ["a.b.co.uk", "b.uk", "co.uk", "x.y.other.ck", "a.www.ck", "s.k12.ma.us", "t.s.k12.ma.us", "y.ma.us"]
+    rules = urls.read_suffixes(str(table))
+    assert one(spark, hosts, urls.registered_domain(F.col("a"), rules)) == ["b.co.uk", "b.uk", "co.uk", "y.other.ck", "www.ck", "s.k12.ma.us", "s.k12.ma.us", "ma.us"]
     assert one(spark, ["h.test/a/b?x=1&y=&x=2", "h.test/", "h.test"], urls.url_tokens(F.col("a")), urls.query_keys(F.col("a"))) == [(["h.test", "a", "b"], ["x"]), (["h.test", ""], []), (["h.test", ""], [])]
     found = one(spark, ["h.test//a/b//", "h.test:80/a?a%20b=1&a+b=2;%zz=3&=4&c"], urls.url_tokens(F.col("a")), urls.query_keys(F.col("a")))
     assert found == [(["h.test", "a", "b"], []), (["h.test:80", "a"], ["a b", "%zz", ""])]
