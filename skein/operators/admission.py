@@ -127,6 +127,12 @@ def admit(links: DataFrame, seen: DataFrame, scope: Scope, rules: DataFrame | No
     return marked.select("id", "link", "domain", reason.cast("int").alias("reason"))
 
 
+def skip_redundant(frontier: DataFrame, probed: DataFrame) -> DataFrame:
+    """Frontier rows with ``reason``: that a row's id is redundant (id, redundant) comes before any other."""
+    joined = frontier.join(probed.filter("redundant").select("id", "redundant"), "id", "left")
+    return joined.withColumn("reason", F.when(F.col("redundant"), F.lit(URL_CLASSES["Redundant"])).otherwise(F.col("reason"))).drop("redundant")
+
+
 def recheck(frontier: DataFrame, scope: Scope, rules: DataFrame, agent: str, filter_all: bool = False) -> DataFrame:
     """Frontier rows with ``reason``: seeds (or all) are held against scope and robots rules again, not against seen or traps.
 

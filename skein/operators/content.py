@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.ids import host_of
 from skein.functions.urls import storage_key
+from skein.operators.hierarchy import depths
 from skein.runtime import stage
+from skein.schemas import URL_CLASSES
 
 STAGNATION = 10  # a page that has not changed for ten times as long as it is old in the cache is taken from the cache
 # Response headers that are kept with a stored body.
@@ -51,6 +54,9 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return rows.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
+ENDLESS = (1 << 31) - 1  # the count of a run without a beginning
+
+
 def percent_diff(a: Column, b: Column) -> Column:
     return F.when((a == 0) & (b == 0), F.lit(0.0)).otherwise(F.abs(a - b) / F.greatest(a, b))
 
@@ -118,22 +124,28 @@ def hex_similarity(a: Column, b: Column) -> Column:
 def similar_runs(nodes: DataFrame, size: float = 0.1) -> DataFrame:
     """(id, count): how many ancestors in a row, from the node up, each link similar in size and content.
 
-    ``nodes`` is (id, parent, size, similar): ``similar`` tells whether the digest is near enough to that of the parent
-    (null: no parent, or one without digest), sizes decide the rest. A size that is off leaves 0, as a digest that is
-    off does. Found by doubling along the parents, so the number of rounds grows with the logarithm of the depth;
-    nodes of a cycle that is similar all round never end and get the number of nodes doubled so far.
+    ``nodes`` is (id, parent, size, similar), both ids long: ``similar`` tells whether the digest is near enough to that of the
+    parent (null: no parent, or one without digest), sizes decide the rest. A size that is off leaves 0, as a digest that is
+    off does. The links that are near make trees, in which the count is the depth; nodes of a cycle that is similar all
+    round have no beginning and count ENDLESS.
     """
     parents = nodes.select(F.col("id").alias("parent"), F.col("size").alias("parent_size"))
-    near = F.coalesce((percent_diff(F.col("size"), F.col("parent_size")) < size) & F.col("similar"), F.lit(False))
-    state = stage(nodes.join(parents, "parent", "left").select("id", F.when(near, F.col("parent")).alias("anc"), F.when(near, 1).otherwise(0).cast("long").alias("count")), "runs")
-    before = -1
-    while True:
-        n_open = state.filter("anc is not null").count()
-        if n_open == 0 or n_open == before:
-            return state.select("id", "count")
-        before = n_open
-        upper = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("count").alias("more"))
-        state = stage(state.join(upper, "anc", "left").select("id", F.col("anc2").alias("anc"), (F.col("count") + F.coalesce("more", F.lit(0))).alias("count")), "runs")
+    near = (percent_diff(F.col("size"), F.col("parent_size")) < size) & F.col("similar")
+    links = stage(nodes.filter("parent is not null").join(parents, "parent").filter(near).select(F.col("id").alias("node"), "parent"), "near")
+    runs = links.join(depths(links), "node", "left").select(F.col("node").alias("id"), F.coalesce("depth", F.lit(ENDLESS)).alias("count"))
+    return nodes.select("id").join(runs, "id", "left").select("id", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def dust_skips(links: DataFrame, runs: DataFrame) -> DataFrame:
+    """(page_id, id, reason, carries): the admitted links (page_id, referrer_id, id) of pages, less those of dust.
+
+    ``runs`` is (page_id, dust, has_digest). Links of a page that is dust are skipped, with the class DUST; the others have a null
+    reason. A link carries the page's state to the page it names if that is on the same host and the page has a digest.
+    """
+    joined = links.join(runs, "page_id", "left")
+    own = host_of(F.lower("referrer_id")) == host_of(F.lower("id"))
+    dust = F.coalesce("dust", F.lit(False))
+    return joined.select("page_id", "id", F.when(dust, F.lit(URL_CLASSES["DUST"])).cast("long").alias("reason"), (~dust & own & F.coalesce("has_digest", F.lit(False))).alias("carries"))
 
 
 def near_copies(pages: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.ids import address_id
 from skein.functions.urls import canonical_url, join_url, let, rooted
 
-ATTRIBUTE = r"""(?i)\b(?:href|src)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+# Mark-up that is no element: comments, and what scripts and styles hold. Their own tags stay, as scripts have links.
+SILENT = r"""(?is)<!--.*?-->|(<(script|style)\b[^>]*>).*?(?=</\2\s*>)"""
+TAG = r"""<[a-zA-Z](?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+ATTRIBUTE = r"""[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 OBJECT_DATA = r"""(?i)<object\b[^>]*?\bdata\s*=\s*(?:"[^"]*"|'[^']*')"""
 BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 CSS_URL = r"""(?i)url\(\s*["']?[^"')]*["']?\s*\)"""
@@ -27,23 +32,38 @@ def wanted(value: Column) -> Column:
     return (value != "") & ~F.lower(value).contains("javascript:") & ~F.lower(value).contains("mailto:")
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else html.unescape(v) for v in value], dtype=object)
+
+
+def unescape(value: Column) -> Column:
+    """The value with its character references resolved; only values that have any go to Python."""
+    return F.coalesce(_unescaped(F.when(value.contains("&"), value)), value)
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(page_id, page_url, value, link) of each href and src of each page; the first base, if any, takes the place of the page's URL.
 
     ``pages`` is (page_id, url, body) with text bodies. Script and mail links and empty ones are left out; null bodies have no links.
     """
-    base = F.regexp_extract("body", BASE, 1)
-    around = F.when(base != "", join_url(F.col("url"), base)).otherwise(F.col("url"))
     # all that needs the body comes before the links are made rows
-    found = pages.select("page_id", F.col("url").alias("page_url"), around.alias("base"), F.regexp_extract_all("body", F.lit(ATTRIBUTE), 0).alias("found"))
-    values = found.withColumn("found", F.transform("found", _bare)).select("page_id", "page_url", "base", F.explode("found").alias("value")).filter(wanted(F.col("value")))
+    tags = F.regexp_extract_all(F.regexp_replace("body", SILENT, "$1"), F.lit(TAG), 0)
+    split = pages.select("page_id", F.col("url").alias("page_url"), tags.alias("tags"))
+    base = F.get(F.filter(F.transform("tags", lambda t: F.regexp_extract(t, BASE, 1)), lambda b: b != ""), 0)
+    own = F.filter("tags", lambda t: t.rlike(r"(?i)\b(?:href|src)\s*="))
+    attributes = F.flatten(F.transform(own, lambda t: F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), 0), lambda a: a.rlike(r"(?i)^(?:href|src)\s*="))))
+    found = split.select("page_id", "page_url", base.alias("base"), F.transform(attributes, _bare).alias("found"))
+    around = F.when(F.col("base").isNotNull(), join_url(F.col("page_url"), F.col("base"))).otherwise(F.col("page_url"))
+    rows = found.select("page_id", "page_url", around.alias("base"), F.explode("found").alias("value"))
+    values = rows.withColumn("value", F.trim(unescape(F.col("value")))).filter(wanted(F.col("value")))
     return values.select("page_id", "page_url", "value", join_url(F.col("base"), F.col("value")).alias("link"))
 
 
 def object_links(pages: DataFrame) -> DataFrame:
     """(page_id, page_url, value, link) of ``<object data>`` that begin with http."""
-    found = pages.select("page_id", F.col("url").alias("page_url"), F.explode(F.regexp_extract_all("body", F.lit(OBJECT_DATA), 0)).alias("found"))
-    value = F.regexp_extract("found", r"""(?i)\bdata\s*=\s*["']([^"']*)["']$""", 1)
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.explode(F.regexp_extract_all(F.regexp_replace("body", SILENT, "$1"), F.lit(OBJECT_DATA), 0)).alias("found"))
+    value = unescape(F.regexp_extract("found", r"""(?i)\bdata\s*=\s*["']([^"']*)["']$""", 1))
     return found.select("page_id", "page_url", value.alias("value"), value.alias("link")).filter(F.col("value").startswith("http"))
 
 
@@ -99,14 +119,10 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Links of pages of any type, chosen by content_type: HTML, style sheet or site map; other types have none."""
+    """Links of pages of any type, chosen by content_type: HTML, style sheet or site map; other types have none. A site map is told by its content_type sitemap."""
     kind = F.lower(F.trim(F.split(F.col("content_type"), ";")[0]))
-    return (
-        html_links(pages.filter(kind.isin("text/html", "application/xhtml+xml")))
-        .union(object_links(pages.filter(kind.isin("text/html", "application/xhtml+xml"))))
-        .union(css_links(pages.filter(kind == "text/css")))
-        .union(sitemap_links(pages.filter(kind == "sitemap")))
-    )
+    markup = pages.filter(kind.isin("text/html", "application/xhtml+xml"))
+    return html_links(markup).union(object_links(markup)).union(css_links(pages.filter(kind == "text/css"))).union(sitemap_links(pages.filter(kind == "sitemap")))
 
 
 def link_edges(links: DataFrame) -> DataFrame:

@@ -49,12 +49,13 @@ def places(laid: DataFrame, with_path: bool = False) -> DataFrame:
     """(node, depth, pre) of each node, and path, the nodes from the root down to it.
 
     ``laid`` is (node, above, offset): above is null for roots, offset is what lies between the place of a node and that of the one above.
+    Nodes whose chain has no end have no row.
     """
     path = [F.array("node").alias("path")] if with_path else []
     more = ["path"] if with_path else []
     closed = [laid.filter("above is null").select("node", F.lit(0).cast("long").alias("depth"), F.col("offset").alias("pre"), *path)]
     active = laid.filter("above is not null").select("node", F.col("above").alias("anc"), F.col("offset").alias("pre"), *path)
-    reach, old = 1, None
+    reach, old, before = 1, None, -1
     while True:
         upper = active.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("pre2"), *[F.col(c).alias(f"{c}2") for c in more])
         joined = stage(active.join(upper, "anc", "left"), "joined")
@@ -68,9 +69,11 @@ def places(laid: DataFrame, with_path: bool = False) -> DataFrame:
             stage(ending.select("node", (F.col("depth2") + reach).alias("depth"), (F.col("pre") + F.col("pre3")).alias("pre"), *[F.concat(f"{c}3", c).alias(c) for c in more]), "settled")
         )
         going = joined.filter("anc2 is not null")
-        if going.isEmpty():
+        n_going = going.count()
+        if n_going in (0, before):  # what is left unchanged by a round hangs on a cycle
             drop_staged(old)
             return reduce(DataFrame.union, closed)
+        before = n_going
         active = going.select("node", F.col("anc2").alias("anc"), (F.col("pre") + F.col("pre2")).alias("pre"), *[F.concat(f"{c}2", c).alias(c) for c in more])
         reach *= 2
 
@@ -142,9 +145,7 @@ def depths(links: DataFrame) -> DataFrame:
     """
     links = stage(links.filter("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent")), "links")
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
-    _, unprocessed, n_unprocessed = subtree_sizes(links)
-    whole = links.join(unprocessed, "node", "left_anti") if n_unprocessed else links
-    laid = whole.unionByName(roots.withColumn("parent", F.lit(None).cast("long"))).select("node", F.col("parent").alias("above"), F.lit(0).cast("long").alias("offset"))
+    laid = links.unionByName(roots.withColumn("parent", F.lit(None).cast("long"))).select("node", F.col("parent").alias("above"), F.lit(0).cast("long").alias("offset"))
     return places(stage(laid, "laid")).filter("depth > 0").select("node", "depth")
 
 

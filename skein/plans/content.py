@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
-from skein.functions.urls import storage_key
+from skein.functions.urls import canonical_url, rooted, storage_key
+from skein.operators import admission, extract
 from skein.operators import content as C
 from skein.operators import redundancy as R
+from skein.plans.links import AGENT, SCOPE, pages, robots_rules
+from skein.plans.links import SQL as LINKS_SQL
 from skein.plans.urls import ID
 from skein.runtime import stage, table
 
@@ -111,6 +114,17 @@ def dust_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.near_copies(pages, bodies).withColumnRenamed("id", "row_id")
 
 
+def dust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the stored pages, skipped (-6) where the page is dust, and whether they carry its state on."""
+    found = extract.link_edges(extract.html_links(pages(spark, sf_dir)))
+    rows = table(spark, sf_dir, "crawled_urls").select(address_id(rooted(canonical_url(F.col("url"), drop_fragment=True))).alias("referrer_id"), "row_id")
+    named = found.join(rows.groupBy("referrer_id").agg(F.min("row_id").alias("row_id")), "referrer_id", "left")
+    runs = dust_near_copies(spark, sf_dir).select("row_id", "dust", "has_digest")
+    links = named.select("page_id", "referrer_id", "id", "row_id").join(runs, "row_id", "left")
+    states = links.groupBy("page_id").agg(F.max("dust").alias("dust"), F.max("has_digest").alias("has_digest"))
+    return C.dust_skips(links.select("page_id", "referrer_id", "id"), states)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "crawled_urls").filter("original is not null")
     return rows.select(F.col("row_id").alias("seq"), address_id(F.col("url")).alias("id"), (F.col("original") != "self").alias("redundant"))
@@ -128,6 +142,14 @@ def redundancy_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.probe_as_of(_log(spark, sf_dir), PATH, FILE, KEY)
 
 
+def frontier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontier rows before they are fetched: redundant ones (-7) first, then seeds that scope or robots rules forbid; null if nothing does."""
+    rows = table(spark, sf_dir, "crawled_urls").select("row_id", "url", F.col("referrer_id").isNull().alias("is_seed")).withColumn("id", address_id(F.col("url")))
+    probed = R.probe(rows, R.support(_log(spark, sf_dir)), PATH, FILE, KEY)
+    checked = admission.recheck(rows, SCOPE, robots_rules(spark), AGENT)
+    return admission.skip_redundant(checked, probed).select("row_id", F.col("reason").cast("long").alias("reason"))
+
+
 def redundancy_tree_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.created(_log(spark, sf_dir))
 
@@ -136,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_fingerprint, exact_duplicates, content_digests, document_duplicates, original_assignment, content_cache_hit, http_dates, use_cached_decision, request_headers,
-        dust_lineage, dust_near_copies, redundancy_support, redundancy_probe, redundancy_asof, redundancy_tree_count,
+        dust_lineage, dust_near_copies, dust_gate, redundancy_support, redundancy_probe, redundancy_asof, redundancy_tree_count, frontier_gate,
     )
 }
 
@@ -227,6 +249,11 @@ held AS (
   SELECT seq, role, CASE WHEN rn > 1 THEN CASE WHEN bool_or(NOT redundant AND rn > 1) OVER w THEN -1 ELSE count(*) FILTER (WHERE redundant) OVER w END END AS support
   FROM numbered WINDOW w AS (PARTITION BY domain, node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT seq, {_HIT} AS redundant FROM held GROUP BY seq""",
+    "frontier_gate": f"""
+{_SUPPORT}, probes AS (SELECT DISTINCT {ID} AS id FROM crawled_urls), pn AS ({_nodes('probes', 'id')}),
+hit AS (SELECT pn.id, {_HIT} AS redundant FROM pn LEFT JOIN support s ON pn.domain = s.domain AND pn.node = s.node GROUP BY pn.id)
+SELECT r.row_id, CASE WHEN hit.redundant THEN -7 ELSE r.reason END AS reason
+FROM ({LINKS_SQL['frontier_recheck']}) AS r JOIN (SELECT row_id, {ID} AS id FROM crawled_urls) AS c ON r.row_id = c.row_id LEFT JOIN hit ON c.id = hit.id""",
     "redundancy_tree_count": f"""
 {_NODES} nodes AS (SELECT domain, node, min(seq) AS seq FROM ({_nodes('log', 'id, seq, redundant')}) AS n GROUP BY domain, node)
 SELECT domain, CAST(count(DISTINCT seq) AS BIGINT) AS n_urls FROM nodes GROUP BY domain""",

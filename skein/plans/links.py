@@ -9,6 +9,7 @@ from skein.config import Scope
 from skein.functions.ids import address_id, host_folded_id, host_of
 from skein.functions.urls import canonical_url, rooted
 from skein.operators import admission, extract, jobs
+from skein.operators.content import charset, decode_text
 from skein.plans.urls import DOMAIN, ID
 from skein.runtime import table
 from skein.schemas import URL_CLASSES
@@ -30,10 +31,10 @@ RULES = [
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, body, content_type); Latin-1 keeps every byte a character, and mark-up is ASCII."""
+    """(page_id, url, body, content_type), in the charset that the content-type names."""
     kind = F.element_at("meta", "content-type")
     return table(spark, sf_dir, "crawled_content").select(
-        F.col("content_id").alias("page_id"), F.col("original_url").alias("url"), F.decode("contents", "iso-8859-1").alias("body"), kind.alias("content_type")
+        F.col("content_id").alias("page_id"), F.col("original_url").alias("url"), decode_text(F.col("contents"), charset(kind)).alias("body"), kind.alias("content_type")
     )
 
 
@@ -46,6 +47,13 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id", "page_url", "value", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+def extract_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the stored pages by their content types; site maps are those whose address ends in sitemap.xml or .txt."""
+    named = F.when(F.col("url").rlike(r"(?i)/sitemap[^/?]*\.(xml|txt)$"), "sitemap").otherwise(F.col("content_type"))
+    found = extract.extract_links(pages(spark, sf_dir).withColumn("content_type", named))
+    return found.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
 def extract_links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.link_edges(extract.html_links(pages(spark, sf_dir))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
 
@@ -167,7 +175,7 @@ def frontier_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_links, extract_links_distinct, link_edges, link_targets, extract_fixture_html, extract_object_base, extract_css, extract_sitemaps, robots_sitemaps,
+        extract_links, extract_by_type, extract_links_distinct, link_edges, link_targets, extract_fixture_html, extract_object_base, extract_css, extract_sitemaps, robots_sitemaps,
         scope_classify, scope_class_counts, scope_pattern_hits, robots_decision, robots_exclusions, spider_trap_flag, seen_anti_join, seen_rebuild_union,
         frontier_admission, frontier_recheck,
     )
@@ -240,6 +248,9 @@ _FOLDED = f"lower({DOMAIN}) || substr({ID}, length({DOMAIN}) + 1)"
 
 SQL = {
     "extract_links": f"SELECT page_id, page_url, value, link, CAST(count(*) AS BIGINT) AS n FROM ({_LINKS}) AS l GROUP BY ALL",
+    "extract_by_type": f"""
+SELECT l.page_id, link, CAST(count(*) AS BIGINT) AS n FROM ({_LINKS}) AS l JOIN crawled_content c ON l.page_id = c.content_id
+WHERE lower(trim(string_split(c.meta['content-type'], ';')[1])) IN ('text/html', 'application/xhtml+xml') AND NOT regexp_matches(c.original_url, '(?i)/sitemap[^/?]*\\.(xml|txt)$') GROUP BY 1, 2""",
     "extract_links_distinct": f"SELECT page_id, CAST(count(*) AS BIGINT) AS n_links FROM (SELECT DISTINCT page_id, id FROM ({_EDGES}) AS e) AS d GROUP BY page_id",
     "link_edges": f"SELECT DISTINCT page_id, referrer_id, id FROM ({_EDGES}) AS e",
     "link_targets": f"SELECT id, CAST(count(*) AS BIGINT) AS n_pages FROM (SELECT DISTINCT page_id, id FROM ({_EDGES}) AS e) AS d GROUP BY id",

@@ -299,3 +299,25 @@ def test_fetch_seam(spark):
     pages = spark.createDataFrame([("a", 200, {"x": "y"}, b"1")], "key string, http_status int, headers map<string,string>, body binary")
     got = {r.id: (r.http_status, r.error) for r in fetch.fetch_from_table(rows, pages).collect()}
     assert got == {"a": (200, ""), "s": (None, "timeout"), "b": (None, "timeout")}
+
+
+def test_links_are_those_of_elements(spark):
+    page = """<html><!-- <a href="/no1"> --><base href='http://b/x/'><script src="s.js?a=1&amp;b=2">var t = '<a href="/no2">';</script>
+      <style>a { background: url(/no3) }</style><a title='href="/no4"' href="one&#47;two">1</a><img data-src="/no5" src=p.png><a
+      href = "/three">3</a><p>href="/no6"</p><a href="caf&eacute;">4</a><object data="http://o/f?x=1&amp;y=2"></object></html>"""
+    pages = spark.createDataFrame([(1, "http://h/p", page, "text/html; charset=x"), (2, "http://h/c.css", "a{background:url(q.png)}", "TEXT/CSS"), (3, "http://h/m.txt", "http://h/z", "sitemap"), (4, "http://h/j", page, "text/plain"), (5, "http://h/n", None, None)], "page_id long, url string, body string, content_type string")
+    got = {(r.page_id, r.link) for r in extract.extract_links(pages).collect()}
+    assert got == {(1, f"http://b/{x}") for x in ("x/", "x/s.js?a=1&b=2", "x/one/two", "x/p.png", "three", "x/café")} | {(1, "http://o/f?x=1&y=2"), (2, "http://h/q.png"), (3, "http://h/z")}
+
+
+def test_links_of_dust_are_skipped(spark):
+    links = spark.createDataFrame([(1, "h/a", "h/b"), (1, "h/a", "k/b"), (2, "h/c", "H/d"), (3, "h/e", "h/f")], "page_id long, referrer_id string, id string")
+    runs = spark.createDataFrame([(1, True, True), (2, False, True)], "page_id long, dust boolean, has_digest boolean")
+    got = {(r.page_id, r.id): (r.reason, r.carries) for r in content.dust_skips(links, runs).collect()}
+    assert got == {(1, "h/b"): (-6, False), (1, "k/b"): (-6, False), (2, "H/d"): (None, True), (3, "h/f"): (None, False)}
+
+
+def test_a_run_without_a_beginning_counts_as_endless(spark):
+    rows = [(1, 2, 5, True), (2, 1, 5, True), (3, 1, 5, True), (4, 3, 900, True), (5, None, 5, None)]
+    got = {r.id: r["count"] for r in content.similar_runs(spark.createDataFrame(rows, "id long, parent long, size int, similar boolean")).collect()}
+    assert got == {1: content.ENDLESS, 2: content.ENDLESS, 3: content.ENDLESS, 4: 0, 5: 0}
