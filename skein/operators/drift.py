@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ids import SCHEME
-from skein.runtime import stage
+from skein.runtime import drop_staged, stage
 
 # The lattice, from narrow to wide. Two types promote to the wider one; anything meets array or object at string.
 TYPES = ["boolean", "integer", "decimal", "array", "object", "string"]
@@ -71,7 +71,7 @@ def canonical_value(kind: Column, text: Column) -> Column:
 
 
 def line_fields(rows: DataFrame) -> DataFrame:
-    """(raw_id, feed, file_no, field, type, canon, text) of each field of each line that is a JSON object.
+    """(raw_id, feed, file_no, field, type, kind, text) of each field of each line that is a JSON object; kind is the type as the parser names it.
 
     Lines that are no JSON object, null ones and objects with repeated names included, give no rows.
     """
@@ -85,8 +85,7 @@ def line_fields(rows: DataFrame) -> DataFrame:
     return flat.select(
         "raw_id", "feed", "file_no", "field",
         value_type(F.col("kind"), F.col("text")).alias("type"),
-        canonical_value(F.col("kind"), F.col("text")).alias("canon"),
-        "text",
+        "kind", "text",
     )
 
 
@@ -125,18 +124,22 @@ def schema_changes(rows: DataFrame, fields: DataFrame | None = None) -> DataFram
     came = both.filter(F.col("was").isNull()).select("feed", "file_no", F.col("field").alias("new_name"), "type")
     left = both.filter(F.col("is").isNull()).select("feed", "file_no", F.col("field").alias("old_name"), "old_type")
 
-    urls = fields.filter("field = 'url' and canon is not null").select("raw_id", F.col("canon").alias("url"))
-    values = fields.filter("canon is not null").select("raw_id", "feed", "file_no", "field", "canon")
-    shift = values.withColumn("file_no", F.col("file_no") + 1)
-    # two values at most stand for the lines that one address has in one file
-    held = lambda v, pick, name: (
+    # values are brought into one form only where a field came or left
+    canon = canonical_value(F.col("kind"), F.col("text")).alias("canon")
+    compared_rows = fields.select("raw_id", "feed", "file_no", "field", "kind", "text")
+    urls = fields.filter("field = 'url'").select("raw_id", canon.alias("url")).filter("url is not null")
+    held = lambda v, pick, name: stage(
         v.join(pick.select("feed", "file_no", F.col(name).alias("field")), ["feed", "file_no", "field"], "left_semi")
-        .join(urls, "raw_id").groupBy("feed", "file_no", "url", F.col("field").alias(name))
-        .agg(F.array(F.min("canon"), F.max("canon")).alias(f"{name}_values"))
+        .select("raw_id", "feed", "file_no", F.col("field").alias(name), canon).filter("canon is not null")
+        .join(urls, "raw_id").select("feed", "file_no", "url", name, "canon").distinct(),
+        name,
     )
-    pairs = held(values, came, "new_name").join(held(shift, left, "old_name"), ["feed", "file_no", "url"])
-    score = F.avg(F.arrays_overlap("new_name_values", "old_name_values").cast("int"))
-    scored = pairs.groupBy("feed", "file_no", "old_name", "new_name").agg(score.alias("score"), F.count(F.lit(1)).alias("n")).filter(F.col("score") >= RENAME_SCORE)
+    new, old = held(compared_rows, came, "new_name"), held(compared_rows.withColumn("file_no", F.col("file_no") + 1), left, "old_name")
+    names = ["feed", "file_no", "old_name", "new_name"]
+    shared = new.select("feed", "file_no", "url", "new_name").distinct().join(old.select("feed", "file_no", "url", "old_name").distinct(), ["feed", "file_no", "url"])
+    n = shared.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    agreed = new.join(old, ["feed", "file_no", "url", "canon"]).select(*names, "url").distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("m"))
+    scored = n.join(agreed, names).withColumn("score", F.col("m") / F.col("n")).filter(F.col("score") >= RENAME_SCORE)
     of = lambda name, other: F.row_number().over(Window.partitionBy("feed", "file_no", name).orderBy(F.desc("score"), F.desc("n"), other))
     mutual = scored.withColumn("a", of("old_name", "new_name")).withColumn("b", of("new_name", "old_name")).filter("a = 1 and b = 1")
     renamed = stage(mutual.select("feed", "file_no", "old_name", "new_name", "score", "n"), "renamed")
@@ -153,52 +156,65 @@ def schema_changes(rows: DataFrame, fields: DataFrame | None = None) -> DataFram
     )
 
 
-def unified_names(changes: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """Old field name -> name in the consistent table, from the renames of all feeds.
+def name_groups(pairs: DataFrame) -> DataFrame:
+    """(name, head) of the names of pairs (left, right): linked names have one head, the least of them.
 
-    Names that rename into each other are one field, named by the member renamed to most often (the smaller on
-    ties). Works on the distinct pairs of names, whose number is checked against ``most``.
+    Each round takes the least head among the neighbours' and then the head's own head, until nothing changes.
     """
-    pairs = changes.filter("change_kind = 'renamed'").groupBy("old_name", "field_name").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(pairs) > most:
-        raise ValueError(f"more than {most} pairs of renamed fields")
-    group: dict[str, set[str]] = {}
-    into: dict[str, int] = {}
-    for old, new, n in pairs:
-        joined = group.get(old, {old}) | group.get(new, {new})
-        for name in joined:
-            group[name] = joined
-        into[new] = into.get(new, 0) + n
-    return {name: min(names, key=lambda x: (-into.get(x, 0), x)) for name, names in group.items()}
-
-
-def unified_types(fields: DataFrame, names: dict[str, str], most: int = 10_000) -> dict[str, str]:
-    """Field of the consistent table -> promoted type, over all values of all files."""
-    found = fields.select("field", "type").distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} fields and types")
-    types: dict[str, str | None] = {}
-    for field, kind in sorted(found, key=lambda r: (r[0], r[1] or "")):
-        name = names.get(field, field)
-        types[name] = promote(types.get(name), kind)
-    return {name: kind or "string" for name, kind in sorted(types.items())}
-
-
-def consistent_table(rows: DataFrame, fields: DataFrame, names: dict[str, str], types: dict[str, str]) -> DataFrame:
+    links = stage(pairs.select("left", "right").union(pairs.select("right", "left")).filter("left <> right").distinct(), "links")
+    heads = stage(links.groupBy(F.col("left").alias("name")).agg(F.min("right").alias("least")).select("name", F.least("name", "least").alias("head")), "heads")
+    while True:
+        near = links.join(heads.select(F.col("name").alias("right"), "head"), "right").groupBy(F.col("left").alias("name")).agg(F.min("head").alias("near"))
+        closer = heads.join(near, "name").select("name", F.col("head").alias("before"), F.least("head", "near").alias("head"))
+        above = heads.select(F.col("name").alias("head"), F.col("head").alias("above"))
+        step = stage(closer.join(above, "head").select("name", F.least("head", "above").alias("head"), (F.least("head", "above") < F.col("before")).alias("changed")), "heads")
+        drop_staged(heads)
+        heads = step.drop("changed")
+        if step.filter("changed").isEmpty():
+            return heads
+
+
+def unified_names(changes: DataFrame) -> DataFrame:
+    """(field, name): the name in the consistent table of each field that was ever renamed, from the renames of all feeds.
+
+    Names that rename into each other are one field, named by the member renamed to most often (the smaller on ties).
+    """
+    pairs = stage(changes.filter("change_kind = 'renamed'").groupBy(F.col("old_name").alias("left"), F.col("field_name").alias("right")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    into = pairs.groupBy(F.col("right").alias("name")).agg(F.sum("n").alias("n"))
+    groups = name_groups(pairs).join(into, "name", "left")
+    chosen = groups.groupBy("head").agg(F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.col("name").alias("chosen"))).getField("chosen").alias("chosen"))
+    return groups.join(chosen, "head").select(F.col("name").alias("field"), F.col("chosen").alias("name"))
+
+
+def promoted(types: Column) -> Column:
+    """The fold of an array of type names by ``promote``; string where there is none."""
+    narrow = [t for t in TYPES if t in ("boolean", "integer", "decimal")]
+    widest = F.element_at(F.array(*map(F.lit, narrow)), F.array_max(F.transform(types, lambda t: F.array_position(F.array(*map(F.lit, narrow)), t))).cast("int"))
+    return F.when(F.size(types) == 0, "string").when(F.size(types) == 1, types[0]).when(F.forall(types, lambda t: t.isin(*narrow)), widest).otherwise("string")
+
+
+def unified_types(fields: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, type): the fields of the consistent table and their promoted types, over all values of all files."""
+    named = fields.join(names, "field", "left").select(F.coalesce("name", "field").alias("name"), "type")
+    return named.groupBy("name").agg(F.collect_set("type").alias("types")).select("name", promoted(F.col("types")).alias("type"))
+
+
+def consistent_table(rows: DataFrame, fields: DataFrame, names: DataFrame, types: DataFrame) -> DataFrame:
     """One row per line that is a JSON object: raw_id, feed, file_no and a column f_<field> for each field of the union schema.
 
     Values are cast to the promoted type; one that can't be cast is null. If a line has a field under two of its
     names the larger text counts. Columns carry the prefix f_ so that no field clashes with the keys; names that
-    differ only in letter case stay apart by a number.
+    differ only in letter case stay apart by a number. The fields are the columns of the table, so their names and types
+    come to the driver as any table's schema does.
     """
-    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("field")), F.col("field")) if names else F.col("field")
-    flat = fields.select("raw_id", "feed", "file_no", name.alias("name"), "text")
+    named = fields.join(names, "field", "left").select("raw_id", "feed", "file_no", F.coalesce("name", "field").alias("name"), "text")
+    once = named.groupBy("raw_id", "feed", "file_no", "name").agg(F.max("text").alias("text"))
+    lines = once.groupBy("raw_id", "feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("held"))
     columns, used = [], set()
-    for field, kind in types.items():
+    for field, kind in sorted(tuple(r) for r in types.collect()):
         label = f"f_{field}"
         while label.lower() in used:
             label += "_2"
         used.add(label.lower())
-        value = F.max(F.when(F.col("name") == field, F.col("text")))
-        columns.append(value.try_cast(SQL_TYPES[kind]).alias(label))
-    return flat.groupBy("raw_id", "feed", "file_no").agg(*columns) if columns else flat.select("raw_id", "feed", "file_no").distinct()
+        columns.append(F.col("held").getItem(field).try_cast(SQL_TYPES[kind]).alias(label))
+    return lines.select("raw_id", "feed", "file_no", *columns)

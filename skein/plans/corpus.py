@@ -33,7 +33,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "stored_rows")
     fields = stage(drift.line_fields(rows), "fields")
-    names = drift.unified_names(drift.schema_changes(rows, fields))
+    names = stage(drift.unified_names(drift.schema_changes(rows, fields)), "names")
     return drift.consistent_table(rows, fields, names, drift.unified_types(fields, names))
 
 

@@ -53,7 +53,8 @@ def test_consistent_table(spark):
     fields = stage(drift.line_fields(rows), "f")
     names = drift.unified_names(drift.schema_changes(rows, fields))
     types = drift.unified_types(fields, names)
-    assert names == {"old": "new", "new": "new"} and types == {"N": "boolean", "n": "string", "new": "string", "url": "string"}
+    assert {tuple(r) for r in names.collect()} == {("old", "new"), ("new", "new")}
+    assert {tuple(r) for r in types.collect()} == {("N", "boolean"), ("n", "string"), ("new", "string"), ("url", "string")}
     got = drift.consistent_table(rows, fields, names, types)
     assert got.count() == 10 and {r.f_new for r in got.collect()} == {f"v{i}" for i in range(5)}
     assert "f_n_2" in got.columns or "f_N" in got.columns
@@ -67,3 +68,26 @@ def test_promotion_is_a_lattice():
             assert drift.promote(a, b) == drift.promote(b, a)
             for c in kinds:
                 assert drift.promote(drift.promote(a, b), c) == drift.promote(a, drift.promote(b, c))
+
+
+def test_promotion_of_a_set_is_the_fold(spark):
+    from functools import reduce
+    from itertools import combinations
+
+    sets = [list(c) for k in range(4) for c in combinations(drift.TYPES, k)]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, types array<string>")
+    got = {r.i: r.t for r in frame.select("i", drift.promoted(frame.types).alias("t")).collect()}
+    assert got == {i: reduce(drift.promote, s, None) or "string" for i, s in enumerate(sets)}
+
+
+def test_names_in_long_chains_and_in_great_number(spark):
+    chain = [("f", i, "renamed", f"n{i + 1:05}", f"n{i:05}") for i in range(40)]
+    others = [("f", 1, "renamed", f"y{i}", f"x{i}") for i in range(12_000)] + [("f", 2, "renamed", "n00007", "z"), ("g", 2, "renamed", "n00007", "z"), ("g", 2, "added", "w", None)]
+    changes = spark.createDataFrame(chain + others, "feed string, file_no int, change_kind string, field_name string, old_name string")
+    got = {r.field: r.name for r in drift.unified_names(changes).collect()}
+    assert {got[f"n{i:05}"] for i in range(41)} | {got["z"]} == {"n00007"} and all(got[f"x{i}"] == f"y{i}" for i in range(0, 12_000, 997)) and "w" not in got
+
+
+def test_a_rename_is_seen_by_any_of_the_values_of_an_address(spark):
+    files = {1: [page(i, old=v) for i in range(6) for v in (f"a{i}", f"m{i}", f"z{i}")], 2: [page(i, new=v) for i in range(6) for v in (f"b{i}", f"m{i}", f"y{i}")]}
+    assert changes(spark, rows_of(files)) == {("f", 2, "renamed", "new")}
