@@ -127,11 +127,13 @@ def schema_changes(rows: DataFrame, fields: DataFrame | None = None) -> DataFram
     # values are brought into one form only where a field came or left
     canon = canonical_value(F.col("kind"), F.col("text")).alias("canon")
     compared_rows = fields.select("raw_id", "feed", "file_no", "field", "kind", "text")
-    urls = fields.filter("field = 'url'").select("raw_id", canon.alias("url")).filter("url is not null")
+    urls = stage(fields.filter("field = 'url'").select("raw_id", canon.alias("url")).filter("url is not null"), "urls")
+    # written before they are brought into form, as the optimizer would test all values for a form before it joins
+    picked = lambda v, pick, name: stage(
+        v.join(pick.select("feed", "file_no", F.col(name).alias("field")), ["feed", "file_no", "field"], "left_semi").withColumnRenamed("field", name), name
+    )
     held = lambda v, pick, name: stage(
-        v.join(pick.select("feed", "file_no", F.col(name).alias("field")), ["feed", "file_no", "field"], "left_semi")
-        .select("raw_id", "feed", "file_no", F.col("field").alias(name), canon).filter("canon is not null")
-        .join(urls, "raw_id").select("feed", "file_no", "url", name, "canon").distinct(),
+        picked(v, pick, name).select("raw_id", "feed", "file_no", name, canon).filter("canon is not null").join(urls, "raw_id").select("feed", "file_no", "url", name, "canon").distinct(),
         name,
     )
     new, old = held(compared_rows, came, "new_name"), held(compared_rows.withColumn("file_no", F.col("file_no") + 1), left, "old_name")
