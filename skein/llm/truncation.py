@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ids import address_id
@@ -24,7 +24,8 @@ from skein.runtime import stage
 ADDRESSES = ("url", "raw_url", "referrer_id")
 KEYS = {"url": "id", "raw_url": "raw_id", "referrer_id": "referrer_id"}  # the id that stands for each field
 LEAST_AT_LIMIT = 3
-LEAST_LIMIT = 64  # no field is cut shorter than this by a limit
+LEAST_LIMIT = 64  # a limit shorter than this must be shown by other cut values
+SHOWN = 0.2
 RARE = 20  # a value is rare beside another that is at least this many times as frequent
 DATE = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d\d (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d\d:\d\d:\d\d GMT$"
 DATE_START = r"^(M|T|W|F|S)([a-z]([a-z](,.*)?)?)?$"
@@ -72,19 +73,23 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def field_limits(lengths: DataFrame) -> DataFrame:
-    """(fetcher, field, at): lengths that no value of a fetcher's field exceeds and many have.
+    """(fetcher, field, at): lengths at which a fetcher's field is cut, since many values have them and hardly any is longer.
 
-    ``lengths`` is (fetcher, field, n_chars, h) with a hash of the value. The greatest length counts if at least
-    LEAST_AT_LIMIT different values have it and five times as many rows as an average length of the 50 below it.
+    ``lengths`` is (fetcher, field, n_chars, h, shown) with a hash of the value and whether something else shows it as cut.
+    A length counts if at least LEAST_AT_LIMIT different values have it, five times as many rows as an average length
+    of the 50 below it, and ten times as many as all that are longer. Shorter than LEAST_LIMIT, where lengths
+    are alike by nature, at least RARE rows must have it and one in five of them be shown as cut.
     """
     key = ["fetcher", "field"]
-    counted = lengths.filter(F.col("n_chars") >= LEAST_LIMIT - 50).groupBy(*key, "n_chars").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy(*key).agg(F.max(F.struct("n_chars", "n")).alias("top"))
-    near = F.sum(F.when((F.col("n_chars") < F.col("top.n_chars")) & (F.col("n_chars") >= F.col("top.n_chars") - 50), F.col("n")).otherwise(0))
+    counted = lengths.groupBy(*key, "n_chars").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("shown").cast("int")).alias("share"))
+    order = Window.partitionBy(*key).orderBy("n_chars")  # one row for each length
+    near = F.coalesce(F.sum("n").over(order.rangeBetween(-50, -1)), F.lit(0))
+    longer = F.coalesce(F.sum("n").over(order.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    plain = (F.col("n_chars") >= LEAST_LIMIT) | ((F.col("n") >= RARE) & (F.col("share") >= SHOWN))
     steep = (
-        counted.join(top, key).groupBy(*key, "top").agg(near.alias("near"))
-        .filter((F.col("top.n_chars") >= LEAST_LIMIT) & (F.col("top.n") >= LEAST_AT_LIMIT) & (F.col("top.n") * 10 >= F.col("near")))
-        .select(*key, F.col("top.n_chars").alias("n_chars"))
+        counted.withColumns({"near": near, "longer": longer})
+        .filter((F.col("n") >= LEAST_AT_LIMIT) & (F.col("n") * 10 >= F.col("near")) & (F.col("n") >= F.col("longer") * 10) & plain)
+        .select(*key, "n_chars")
     )
     different = lengths.join(steep, [*key, "n_chars"], "left_semi").groupBy(*key, "n_chars", "h").agg(F.lit(1).alias("one"))
     return different.groupBy(*key, F.col("n_chars").alias("at")).agg(F.count("one").alias("n")).filter(F.col("n") >= LEAST_AT_LIMIT).drop("n")
@@ -147,16 +152,21 @@ def cut_addresses(rows: DataFrame, elsewhere: DataFrame | None = None) -> DataFr
     shorter = stage(cut.select(F.xxhash64("value").alias("key"), F.length("value").alias("key_chars")).distinct(), "shorter")
     partial = cut_words(ids).withColumn("last_cut", F.lit(True))
 
-    of = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"{f}_chars").alias("n_chars"), F.col(f"{f}_hash").alias("h"))
-    limits = field_limits(own.select("fetcher", F.explode(F.array(*map(of, ADDRESSES))).alias("x")).select("fetcher", "x.*"))
-    wide = limits.groupBy("fetcher").pivot("field", list(ADDRESSES)).agg(F.max("at"))
     # from here on rows carry no address: 64-bit hashes and lengths stand for the values
-    marked = own.drop("id", "raw_id", "referrer_id", *[f"{f}_hash" for f in ADDRESSES])
-    marked = marked.join(wide.withColumnsRenamed({f: f"{f}_at" for f in ADDRESSES}), "fetcher", "left").join(partial, "last_word", "left")
+    marked = own.drop("id", "raw_id", "referrer_id").join(partial, "last_word", "left")
     for f in ADDRESSES:
         hit = shorter.select(F.col("key").alias(f"{f}_key"), F.col("key_chars").alias(f"{f}_key_chars"), F.lit(True).alias(f"{f}_short"))
         marked = marked.join(hit, [f"{f}_key", f"{f}_key_chars"], "left")
-    at = {f: F.coalesce(F.col(f"{f}_chars") == F.col(f"{f}_at"), no) for f in ADDRESSES}
+    marked = stage(marked.drop(*[f"{f}_{c}" for f in ADDRESSES for c in ("key", "key_chars")], "last_word"), "marked")
+    less = {"url": F.col("url_less"), "raw_url": F.col("raw_less"), "referrer_id": F.col("broken") | F.coalesce("last_cut", no)}
+    shown = {f: F.coalesce(f"{f}_short", no) | less[f] for f in ADDRESSES}
+    of = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"{f}_chars").alias("n_chars"), F.col(f"{f}_hash").alias("h"), shown[f].alias("shown"))
+    lengths = marked.select("fetcher", F.explode(F.array(*map(of, ADDRESSES))).alias("x")).select("fetcher", "x.*").filter("n_chars > 0")
+    limits = stage(field_limits(lengths), "limits")
+    for f in ADDRESSES:
+        own_limits = limits.filter(F.col("field") == f).select("fetcher", F.col("at").alias(f"{f}_chars"), F.lit(True).alias(f"{f}_at"))
+        marked = marked.join(own_limits, ["fetcher", f"{f}_chars"], "left")
+    at = {f: F.coalesce(f"{f}_at", no) for f in ADDRESSES}
     short = {f: F.coalesce(f"{f}_short", no) for f in ADDRESSES}
     same, url_less, raw_less = F.col("same"), F.col("url_less"), F.col("raw_less")
     # a whole raw address that gives this url shows that the url is whole, and the other way round
@@ -239,7 +249,7 @@ def cut_headers(rows: DataFrame) -> DataFrame:
         keyed = keyed.join(rare.filter(F.col("look") == x).select(F.col("key").alias(f"{x}_key"), F.lit(True).alias(f"{x}_rare")), f"{x}_key", "left")
     is_rare = F.coalesce(*[F.col(f"{x}_rare") for x in LOOKS], F.lit(False)) & ~F.col("number")  # a number is no part of anything
     judged = stage(keyed.select("row_id", "fetcher", "name", "n_chars", "h", (is_rare | F.col("unclosed")).alias("cut")), "judged")
-    limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", "h")).withColumnsRenamed({"field": "name", "at": "n_chars"})
+    limits = field_limits(judged.select("fetcher", F.col("name").alias("field"), "n_chars", "h", F.col("cut").alias("shown"))).withColumnsRenamed({"field": "name", "at": "n_chars"})
     # a limit of a header counts if most of the values that have its length are visibly cut; the greatest length that RARE rows
     # have is a limit then, however short it is and however few different values have it
     counted = judged.groupBy("fetcher", "name", "n_chars").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("cut").cast("int")).alias("share"))

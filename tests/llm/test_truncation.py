@@ -56,6 +56,25 @@ def test_field_limits(spark):
     assert got == {(i, "url") for i, r in enumerate(rows) if r[0] == "short" and len(r[2]) > 100}
 
 
+def test_limits_below_64_characters_and_beside_longer_values(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = []
+    for i in range(200):
+        url = f"http://h.test/{word(rng.randrange(20, 150))}"
+        rows.append(("short", url[:40], url, None, {}))  # a limit of 40
+        rows.append(("long", url[:120], url[:120], None, {}))  # a limit of 120, in both fields
+        rows.append(("even", f"http://h.test/{i:020}", f"http://h.test/{i:020}", None, {}))  # of one length, and whole
+    whole = f"http://h.test/{word(300)}"
+    rows += [("short", whole, whole, None, {}), ("long", whole, whole, None, {})]  # written before the limit was there
+    want = {(i, "url") for i, r in enumerate(rows) if r[0] == "short" and len(r[2]) > 40 and r[2] != whole}
+    want |= {(i, f) for i, r in enumerate(rows) if r[0] == "long" and len(r[1]) == 120 for f in ("url", "raw_url")}
+    got = found(spark, rows)
+    # a value of the long fetcher may be shown whole by the other fetcher's row, or cut by it as its prefix
+    assert {x for x in got if rows[x[0]][0] == "short"} == {x for x in want if rows[x[0]][0] == "short"}
+    assert {x for x in want if rows[x[0]][0] == "long"} <= got and not any(rows[i][0] == "even" for i, _ in got)
+
+
 def test_headers(spark):
     rng = random.Random(3)
     whole = [{"Content-Type": rng.choice(["text/html; charset=utf-8", "text/html", "text/css"]), "etag": f'"{i:05x}-{i * 7:05x}"', "x-robots-tag": rng.choice(["noindex", "noindex, nosnippet"]), "content-length": str(rng.randrange(9, 99999)),
