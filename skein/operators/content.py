@@ -203,6 +203,17 @@ def use_cached(fetched: Column, expires: Column, modified: Column, now: Column)
     )
 
 
+def fetch_plan(rows: DataFrame) -> DataFrame:
+    """Adds had: how a page (use_cached, fetched, etag, answer, content_id of the stored body) is had.
+
+    ``cache``: the stored body may be used unasked. A page that was fetched before or has an etag is asked for changes; on
+    the answer 304 its stored body counts (``not_modified``), and if there is none it is fetched ``again`` without asking. Else it is ``fetched``.
+    """
+    stored, asked = F.col("content_id").isNotNull(), F.col("fetched").isNotNull() | F.col("etag").isNotNull()
+    unchanged = F.coalesce(asked & (F.col("answer") == 304), F.lit(False))
+    return rows.withColumn("had", F.when(F.col("use_cached") & stored, "cache").when(unchanged & stored, "not_modified").when(unchanged, "again").otherwise("fetched"))
+
+
 def request_headers(referrer: Column, modified: Column, etag: Column) -> Column:
     """Referer, If-Modified-Since and If-None-Match, those that have a value."""
     pairs = F.create_map(F.lit("Referer"), referrer, F.lit("If-Modified-Since"), modified, F.lit("If-None-Match"), etag)

@@ -103,3 +103,27 @@ def scale_plan(affordable_: Column, needed: Column, open_: Column) -> Column:
 
 def spot_bid(average: Column, on_demand: Column) -> Column:
     return F.least(F.lit(1.1) * average, on_demand)
+
+
+def scale_local(cores: Column, running: Column, needed: Column) -> Column:
+    """Fetchers to start on a machine with so many cores, of which none is left idle but those that are needed."""
+    return F.greatest(F.lit(0), cores - running - needed).cast("long")
+
+
+def load(consumers: DataFrame, unassigned: DataFrame, owned: DataFrame) -> DataFrame:
+    """(consumer, step, queue, donor): what a consumer that asks for work is given, each of ``consumers`` taken by itself.
+
+    The first active queue of ``unassigned`` (queue, active, waiting), else the first with messages waiting; else the youngest
+    active queue of the consumer, another one, that has most to spare by ``owned`` (consumer, queue, active, assigned),
+    more than half of its queues being active; else the step is stop, which asks the least senior consumer to end.
+    """
+    free = unassigned.agg(F.min(F.when(F.col("active"), F.col("queue"))).alias("best"), F.min(F.when(F.col("waiting") > 0, F.col("queue"))).alias("some"))
+    spare = (F.count_if("active") - F.floor(F.count(F.lit(1)) / 2)).cast("long").alias("spare")
+    youngest = F.max(F.when(F.col("active"), F.struct("assigned", "queue"))).getField("queue").alias("youngest")
+    # two donors are enough: nobody but the first itself is given from the second
+    donors = owned.groupBy("consumer").agg(spare, youngest).filter("spare > 0").orderBy(F.desc("spare"), "consumer").limit(2)
+    best = donors.agg(F.array_sort(F.collect_list(F.struct((-F.col("spare")).alias("rank"), "consumer", "youngest"))).alias("donors"))
+    own = F.get(F.filter("donors", lambda d: d["consumer"] != F.col("consumer")), 0)
+    given = consumers.select("consumer", free.select("best").scalar().alias("best"), free.select("some").scalar().alias("some"), best.scalar().alias("donors")).withColumn("d", own)
+    step = F.when(F.col("best").isNotNull(), "active").when(F.col("some").isNotNull(), "waiting").when(F.col("d").isNotNull(), "donated").otherwise("stop")
+    return given.select("consumer", step.alias("step"), F.coalesce("best", "some", "d.youngest").alias("queue"), F.when(step == "donated", F.col("d.consumer")).alias("donor"))

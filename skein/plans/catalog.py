@@ -1,7 +1,7 @@
 """All queries of the core and their SQL."""
 
-from skein.plans import content, corpus, formats, frontier, links, outcomes, pipeline, streams, urls
+from skein.plans import content, corpus, formats, frontier, links, outcomes, pipeline, store, streams, urls
 
-MODULES = (corpus, urls, links, content, frontier, outcomes, formats, streams, pipeline)
+MODULES = (corpus, urls, links, content, frontier, outcomes, formats, streams, pipeline, store)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
