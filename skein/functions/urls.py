@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.ids import SCHEME, address_id, host_of
+from skein.functions.ids import SCHEME, address_id
 
 # Suffixes of two labels under which names are registered. A full table is read by ``read_suffixes``.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr")
@@ -61,10 +61,6 @@ def rooted(url: Column) -> Column:
     return F.regexp_replace(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)(?=$|[?#])", "$1/")
 
 
-def domain(address: Column) -> Column:
-    return host_of(address)
-
-
 def read_suffixes(path: str) -> tuple[str, ...]:
     """The rules of a suffix table: a line each, blank lines and those that begin with // left out."""
     with open(path, encoding="utf-8") as lines:

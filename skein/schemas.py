@@ -22,14 +22,6 @@ URL_ROW = T.StructType(
         T.StructField("response_headers", HEADERS),
     ]
 )
-REDIRECT_ROW = T.StructType([f for f in URL_ROW if f.name not in ("fingerprint", "original")] + [T.StructField("redirects_to", T.StringType())])
-SKIPPED_ROW = T.StructType([T.StructField("raw_url", T.StringType()), T.StructField("id", T.StringType()), T.StructField("referrer_id", T.StringType()), T.StructField("reason", T.IntegerType())])
-LOG_ROW = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("host", "message", "url", "exception", "stacktrace")] + [T.StructField("ts", T.DoubleType()), T.StructField("type", T.IntegerType())]
-)
-CONTENT_ROW = T.StructType([T.StructField("key", T.StringType()), T.StructField("body", T.BinaryType()), T.StructField("meta", HEADERS)])
-# The near-duplicate state that travels along referrers.
-DUST_STATE = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("digest", T.StringType()), T.StructField("count", T.IntegerType())])
 
 # Classes of a URL, as stored in skipped rows.
 URL_CLASSES = {
@@ -43,14 +35,6 @@ URL_CLASSES = {
     "Crawled": 0,
     "InScope": 1,
 }
-# Severities of log rows.
-SEVERITIES = {"InternalError": 6, "ExternalError": 5, "InternalWarning": 4, "ExternalWarning": 3, "Info": 2, "Debug": 1}
-# Reasons for which robots are kept off a page.
-ROBOT_REASONS = (
-    "robots.txt", "rel=nofollow", "content=noindex", "content=nofollow", "content=nosnippet", "content=noodp", "content=noarchive",
-    "content=unavailable_after", "X-Robots-Tag:noindex", "X-Robots-Tag:nofollow", "X-Robots-Tag:nosnippet", "X-Robots-Tag:noodp",
-    "X-Robots-Tag:noarchive", "X-Robots-Tag:unavailable_after",
-)
 # Statuses that redirect.
 REDIRECT_STATUSES = (300, 301, 302, 303, 307, 308)
 MAX_REDIRECTS = 20

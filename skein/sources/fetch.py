@@ -33,18 +33,6 @@ class Fetcher(Protocol):
     def fetch(self, url: str, headers: dict[str, str]) -> Answer: ...
 
 
-class PageExtractor(Protocol):
-    """(page_id, url, body) -> (page_id, page_url, value, link), as the functions of ``operators.extract``."""
-
-    def __call__(self, pages: DataFrame) -> DataFrame: ...
-
-
-class Transformer(Protocol):
-    """Rows with url -> the same rows with another url."""
-
-    def __call__(self, rows: DataFrame) -> DataFrame: ...
-
-
 def fetch_rows(frontier: DataFrame, make: Callable[[], Fetcher], queue: str | None = None) -> DataFrame:
     """(id, http_status, error, headers, body) of each row (id, url, request_headers). An exception of the fetcher is an error of the request."""
     rows = frontier.select("id", "url", "request_headers", *([queue] if queue else []))
