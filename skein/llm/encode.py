@@ -142,13 +142,19 @@ def encode_corpus(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
-def decode_corpus(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids). Empty and null lists give the empty text; bytes that are no UTF-8 are replaced."""
+def token_table(spark, vocabulary: Vocabulary) -> DataFrame:
+    """(token, hex) of each token id: its bytes in hex. As many rows as the vocabulary has tokens."""
+    _, table = vocabulary.get()
+    return spark.createDataFrame(pa.table({"token": pa.array(range(len(table)), pa.int32()), "hex": pa.array([t.hex() for t in table])}))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = vocabulary.get()
-        for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+def decode_corpus(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): each id joined with the table of token bytes, put together by position.
+
+    Empty and null lists give the empty text, ids that no token has no bytes; bytes that are no UTF-8 are replaced. Repeated rows come out each.
+    """
+    rows = stage(encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id()), "encoded")
+    tokens = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "token"))
+    joined = tokens.join(F.broadcast(token_table(encoded.sparkSession, vocabulary)), "token", "left")
+    whole = joined.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("hex").isNotNull(), F.struct("pos", "hex")))).alias("parts"))
+    return whole.select("doc_id", F.make_valid_utf8(F.unhex(F.array_join("parts.hex", "")).cast("string")).alias("text"))

@@ -55,6 +55,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"), Vocabulary(spark))
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: the texts of all ids."""
+    vocabulary = Vocabulary(spark)
+    return encode.decode_corpus(encode.encode_corpus(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), changed_too=False)
     return passages.filter("n_equal > 0").select("doc_id", "item_id")
@@ -77,7 +83,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_pieces(table(spark, sf_dir, "documents"), Vocabulary(spark))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_bodies, p4_found, p4_rates, p8_ids, p9_found, p9_items, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_bodies, p4_found, p4_rates, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_pieces)}
 
 _ID = r"regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
 _KEY = f"lower(regexp_extract({_ID}, '^([^?/:]*)', 1)) || substr({_ID}, length(regexp_extract({_ID}, '^([^?/:]*)', 1)) + 1)"
@@ -88,6 +94,7 @@ SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 11), ' ') AS passage F
 """
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_WINDOWS.format('doc_id', 'documents')}) AS d JOIN ({_WINDOWS.format('item_id', 'eval_items')}) AS e ON d.passage = e.passage",
     "p4_found": f"""
 SELECT row_id FROM (
