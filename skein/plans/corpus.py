@@ -47,11 +47,11 @@ def _keyed(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, Colum
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heavy keys by their histograms; a key with 2% of the rows is a hot one."""
+    """The heavy keys: those where the rank of 2% of all rows resolves in the key's own histogram."""
     parts = []
     for kind, (rows, key, value) in _keyed(spark, sf_dir).items():
-        figures = hotkeys.hot_figures(*hotkeys.key_counts(rows, key, value), ())
-        parts.append(hotkeys.heavy_keys(figures, rows.count()).select(F.lit(kind).alias("key_kind"), F.col("key").alias("key_value")))
+        heavy = hotkeys.heavy_ranks(rows, key, value, rows.count())
+        parts.append(heavy.select(F.lit(kind).alias("key_kind"), F.col("key").alias("key_value")))
     return parts[0].union(parts[1])
 
 
