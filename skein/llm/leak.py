@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text, found by windows of their templates.
 
 Words of an item are turned into a template: numbers, names and units become typed placeholders; a second
-template also has the words that follow a number in digits as units, which no list holds. A document's words that no item has are typed by the same rules, names by their own spelling. Windows
-of equal words are looked for by themselves, so that no typing can hide them. All windows of
+template also has the words that follow a number in digits as units, which no list holds. A document's words that no item has are typed by the same rules, names by their own spelling. A word that
+items have is typed by itself alone, the same in items and documents, so that windows of equal words have equal templates. All windows of
 ``run`` words of all item templates are hashed and joined with the windows of each document. A window that matches
 is checked slot by slot: with all words equal the passage has leaked as it is; with other values, but each value of
 the item always under the same value of the document and the other way round, the question was given new parameters.
@@ -35,6 +35,7 @@ UNITS = (
     "percent m km cm mm kg g mg usd eur dollars euros"
 )
 _NUM, _UNIT, _NAME, _SLOTS = 1, 2, 3, 3
+_DIGITS = -1  # a number in digits, before it becomes _NUM
 _NUMBERS = frozenset(NUMBER_WORDS.split())
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,35 +86,38 @@ def _capitals(text: str, words: list[str]) -> set[str]:
     return {low for low, word in zip(words, own) if word[0].isupper() and not word.isupper()} if len(own) == len(words) else set()
 
 
+class _Kinds(dict):
+    """Template codes by word; a word without a code is a number in digits or 0."""
+
+    def __missing__(self, word: str) -> int:
+        return _DIGITS if _is_number(word) else 0
+
+
 class Templates:
     """The windows of a block of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN):
         self.run = run
         names = _names([t for _, t in items if t])
-        self.vocabulary: dict[str, tuple[int, int]] = {}
-        split = [(item_id, words_of(text)) for item_id, text in items]
-        kinds = dict.fromkeys(UNITS.split(), _UNIT) | dict.fromkeys(names, _NAME) | dict.fromkeys(_NUMBERS, _NUM)
         self.named = bool(names)
-        template, counted, exact, item_of, starts = [], [], [], [], []
-        for item_id, own in split:
-            base = len(exact)
+        self.kinds = _Kinds(dict.fromkeys(UNITS.split(), _UNIT) | dict.fromkeys([n for n in names if not _is_number(n)], _NAME) | dict.fromkeys(_NUMBERS, _NUM))
+        self.exact: list[str] = []  # the words of all items
+        template, counted, item_of, starts = [], [], [], []
+        for item_id, text in items:
+            own = words_of(text)
+            base = len(self.exact)
             units = _counted(own)
             for word in own:
-                code = self.vocabulary.setdefault(word, len(self.vocabulary) + _SLOTS + 1)
-                exact.append(code)
-                template.append(_NUM if _is_number(word) else kinds.get(word, code))
-                counted.append(_UNIT if word in units and template[-1] > _SLOTS else template[-1])
-            starts.append(np.arange(base, max(base, len(exact) - run + 1)))
+                code = _NUM if _is_number(word) else self.kinds.setdefault(word, len(self.kinds) + _SLOTS + 1)
+                template.append(code)
+                counted.append(_UNIT if word in units and code > _SLOTS else code)
+            self.exact += own
+            starts.append(np.arange(base, max(base, len(self.exact) - run + 1)))
             item_of += [item_id] * len(starts[-1])
-        self.words = {w: (_NUM if _is_number(w) else kinds.get(w, c), c) for w, c in self.vocabulary.items()}
-        self.kinds = kinds
-        self.exact, self.template, self.counted = (np.array(codes, np.int64) for codes in (exact, template, counted))
+        self.template, self.counted = (np.array(codes, np.int64) for codes in (template, counted))
         at = np.concatenate(starts) if starts else np.empty(0, np.int64)
         items_at = np.array(item_of, np.int64)
-        self.by_template, self.by_counted, self.by_words = (self._index(codes, at, items_at) for codes in (self.template, self.counted, self.exact))
-        self.exact_of = {w: c for w, (_, c) in self.words.items()}
-        del self.vocabulary
+        self.by_template, self.by_counted = (self._index(codes, at, items_at) for codes in (self.template, self.counted))
 
     def _index(self, codes: np.ndarray, at: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the windows in order, and the place and the item of each."""
@@ -133,25 +137,24 @@ class Templates:
             total = total * _MULTIPLIER + mixed[k : k + n]
         return total
 
-    def codes(self, words: list[str], capitals: set[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template codes of a document's words, the same with each word after a number in digits as a unit, and exact codes.
+    def codes(self, text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Template codes of a document's words, and the same with each word after a number in digits as a unit.
 
-        0 is a word no item has and no slot takes, negative exact codes are slot values that no item has.
+        0 is a word no item has and no slot takes.
         """
-        get, kinds = self.words.get, self.kinds
-        counted = _counted(words)
-        rows = []
-        other: dict[str, int] = {}
-        after = False  # whether the word before is a number in digits
-        for word in words:
-            code = get(word)
-            if code is None:
-                kind = _NUM if _is_number(word) else kinds.get(word) or (_NAME if word in capitals else _UNIT if word in counted else 0)
-                code = (kind, -1 - other.setdefault(word, len(other))) if kind else (0, 0)
-            rows.append((code[0], _UNIT if after and code[0] > _SLOTS else code[0], code[1]))
-            after = code[0] == _NUM and word not in _NUMBERS
-        all_ = np.array(rows, np.int64).reshape(-1, 3)
-        return all_[:, 0], all_[:, 1], all_[:, 2]
+        template = np.fromiter(map(self.kinds.__getitem__, words), np.int64, len(words))
+        digits = template == _DIGITS
+        template[digits] = _NUM
+        after = np.concatenate([[False], digits[:-1]])  # whether the word before is a number in digits
+        unknown = np.flatnonzero(template == 0)
+        if self.named and len(unknown):
+            capitals = _capitals(text, words)
+            template[[i for i in unknown if words[i] in capitals]] = _NAME
+            unknown = unknown[template[unknown] == 0]
+        units = {words[i] for i in unknown[after[unknown]]}
+        if units:
+            template[[i for i in unknown if words[i] in units]] = _UNIT
+        return template, np.where(after & (template > _SLOTS), _UNIT, template)
 
     def _pairs(self, codes: np.ndarray, there: np.ndarray, index: tuple, foreign: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place, place among the items, item) of the windows of equal codes, none with a foreign word."""
@@ -168,24 +171,20 @@ class Templates:
                     yield int(place), int(at[j]), int(item[j])
 
     def matches(self, text: str | None, changed_too: bool = True) -> dict[int, list[int]]:
-        """item -> [windows with equal words, windows with consistent other values]"""
+        """item -> [windows with equal words, windows with consistent other values], both among the windows of equal templates"""
         words = words_of(text)
         found: dict[int, list[int]] = {}
-        if len(words) < self.run or not len(self.by_words[0]):
-            return found
-        get = self.exact_of.get
-        exact = np.array([get(w, 0) for w in words], np.int64)
-        for _, _, item in self._pairs(exact, self.exact, self.by_words, exact <= 0):
-            found.setdefault(item, [0, 0])[0] += 1
-        if not changed_too:
+        if len(words) < self.run or not len(self.by_template[0]):
             return found
-        template, counted, exact = self.codes(words, _capitals(text, words) if self.named else frozenset())
-        changed = {*self._pairs(template, self.template, self.by_template, template == 0)}
-        if (counted == _UNIT).any():
-            changed |= {*self._pairs(counted, self.counted, self.by_counted, counted == 0)}
-        for place, there, item in changed:
-            held, own = self.exact[there : there + self.run], exact[place : place + self.run]
-            if (held != own).any() and len({*zip(held, own)}) == len({*held}) == len({*own}):
+        template, counted = self.codes(text, words)
+        windows = {*self._pairs(template, self.template, self.by_template, template == 0)}
+        if changed_too and (counted == _UNIT).any():
+            windows |= {*self._pairs(counted, self.counted, self.by_counted, counted == 0)}
+        for place, there, item in windows:
+            held, own = self.exact[there : there + self.run], words[place : place + self.run]
+            if held == own:
+                found.setdefault(item, [0, 0])[0] += 1
+            elif changed_too and len({*zip(held, own)}) == len({*held}) == len({*own}):
                 found.setdefault(item, [0, 0])[1] += 1
         return found
 
@@ -208,7 +207,7 @@ class Typing:
         return held[np.minimum(np.searchsorted(held, hashes), len(held) - 1)] == hashes if len(held) else np.zeros(len(hashes), bool)
 
     def windows(self, text: str | None, item: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(mode, places, h1, h2, hashes of the words) of the windows by words (0), by template (1) and with counted units too (2)."""
+        """(mode, places, h1, h2, hashes of the words) of the windows by template (1) and with counted units too (2)."""
         words = words_of(text)
         if len(words) < self.run:
             return
@@ -231,7 +230,7 @@ class Typing:
             elif not known[i] and word in counted:
                 kinds[i] = _UNIT
         more = np.where((kinds == 0) & (np.array([w in counted for w in words]) if item else after), _UNIT, kinds)
-        for mode, own, foreign in ((0, np.zeros_like(kinds), ~known), (1, kinds, ~known & (kinds == 0)), (2, more, ~known & (more == 0))):
+        for mode, own, foreign in ((1, kinds, ~known & (kinds == 0)), (2, more, ~known & (more == 0))):
             if mode == 2 and not item and not (more == _UNIT).any():
                 continue
             codes = np.where(own > 0, own, exact)
@@ -262,7 +261,7 @@ def _windows(typing, item: bool, bitmap=None, bits: int = 0, changed_too: bool =
             parts: list[tuple] = []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for mode, places, h1, h2, exact in typing.value.windows(text, item):
-                    if mode and not changed_too:
+                    if mode == 2 and not changed_too:
                         continue
                     if held is not None:
                         at = h1 >> np.uint64(64 - bits)
@@ -313,8 +312,8 @@ def _joined_passages(texts: DataFrame, items: DataFrame, run: int, changed_too:
     equal = F.col("words") == F.col("item_words")
     width = lambda c: F.size(F.array_distinct(c))
     both = width(F.arrays_zip("words", "item_words"))
-    changed = (F.col("mode") > 0) & ~equal & (both == width("words")) & (both == width("item_words"))
-    told = pairs.select("doc_id", "item_id", "place", "item_place", ((F.col("mode") == 0) & equal).alias("equal"), changed.alias("changed")).filter("equal or changed")
+    changed = F.lit(changed_too) & ~equal & (both == width("words")) & (both == width("item_words"))
+    told = pairs.select("doc_id", "item_id", "place", "item_place", equal.alias("equal"), changed.alias("changed")).filter("equal or changed")
     # a window that both kinds of template find counts once
     once = told.groupBy("doc_id", "item_id", "place", "item_place").agg(F.max("equal").alias("equal"), F.max("changed").alias("changed"))
     return once.groupBy("doc_id", "item_id").agg(F.count_if("equal").cast("int").alias("n_equal"), F.count_if("changed").cast("int").alias("n_changed"))
@@ -325,7 +324,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run: int = RUN, bloc
 
     n_equal counts the windows of the document with the words of the item, n_changed those where slots consistently
     hold other values. A unit that is in no list counts only after a number in digits. Null and short texts have no windows; repeated documents come out each; items of one text
-    each match. Without ``changed_too`` only equal words are looked for. Only doc_id, item_id and text are read. Above ``block`` items the windows of the
+    each match. Without ``changed_too`` only windows of equal words are kept. Only doc_id, item_id and text are read. Above ``block`` items the windows of the
     documents that the items may have are joined with theirs; repeated documents of one doc_id are then one row. Where even the items' words
     are too many to send to every task, the documents are read once for each ``block`` of items.
     """

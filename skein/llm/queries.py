@@ -62,7 +62,8 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passages = leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), changed_too=False)
+    """The windows of equal templates, checked slot by slot, in which all words are equal."""
+    passages = leak.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return passages.filter("n_equal > 0").select("doc_id", "item_id")
 
 
